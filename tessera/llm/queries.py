@@ -7,20 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .language import identify
+from .mixing import decide
 from .packing import pack
+from .quality import score_quality
 from .token_count import token_counts
+from .url_filter import judge_urls
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, read(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = decide(spark, read(spark, sf_dir, "documents"), target_entropy=0.9)
+    return chosen.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_block", "mix_copies")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark, read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_token_counts, op6_best_fit_packing]
+    own = [op2_token_counts, op3_quality, op6_best_fit_packing, op7_language_id, op9_mixing, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
