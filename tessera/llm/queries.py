@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .edit_sketch import edit_fingerprints
+from .jaccard import near_duplicates
 from .language import identify
 from .mixing import decide
 from .packing import pack
@@ -23,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, read(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, read(spark, sf_dir, "documents"))
 
@@ -31,6 +37,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, read(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = decide(spark, read(spark, sf_dir, "documents"), target_entropy=0.9)
     return chosen.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_block", "mix_copies")
@@ -41,7 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_token_counts, op3_quality, op6_best_fit_packing, op7_language_id, op9_mixing, op10_url_filter]
+    own = [op2_token_counts, op3_quality, op4_ngram_jaccard, op6_best_fit_packing, op7_language_id, op8_fingerprints, op9_mixing, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
