@@ -11,12 +11,19 @@ from .edit_sketch import edit_fingerprints
 from .jaccard import near_duplicates
 from .language import identify
 from .mixing import decide
+from .neighbours import nearest
 from .packing import pack
 from .quality import score_quality
+from .substring import dedupe_passages
 from .token_count import token_counts
 from .url_filter import judge_urls
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedupe_passages(spark, read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", "sub_chunks", "sub_removed", "sub_spans")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, read(spark, sf_dir, "documents"))
 
@@ -29,6 +36,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, read(spark, sf_dir, "documents"))
 
@@ -51,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_token_counts, op3_quality, op4_ngram_jaccard, op6_best_fit_packing, op7_language_id, op8_fingerprints, op9_mixing, op10_url_filter]
+    own = [op1_substring_dedup, op2_token_counts, op3_quality, op4_ngram_jaccard, op5_nearest_neighbours, op6_best_fit_packing, op7_language_id, op8_fingerprints, op9_mixing, op10_url_filter]
     return {f.__name__: f for f in own}
 
 
