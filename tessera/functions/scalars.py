@@ -63,7 +63,7 @@ def fnv1a_32(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Comma-separated values, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug(c: Column) -> Column:
