@@ -34,16 +34,17 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return labels
 
 
-def spanning(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    label = np.arange(len(near))
-    out = []
-    for i in range(1, len(near)):
-        found = np.flatnonzero(near[i, :i])
-        while len(found):
-            j = int(found[0])
-            out.append((i, j))
-            same = label == label[j]
-            label[same] = i
-            found = found[label[found] != i]
-    return out
+def stars(near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each component of a symmetric boolean matrix, edges from its members to the smallest id among them.
+
+    The smallest ids are the same in many overlapping groups, so the edges of all groups are few when made distinct."""
+    label = np.arange(len(ids))
+    for i in range(1, len(ids)):
+        roots = np.unique(label[np.flatnonzero(near[i, :i])])
+        if len(roots):
+            label[np.isin(label, roots)] = i
+            label[i] = i
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    root = least[label]
+    return ids[ids != root], root[ids != root]

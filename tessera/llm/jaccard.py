@@ -10,7 +10,7 @@ the threshold is met with the target recall: a pair shares a node ``d`` splits d
 one child survives, and runs are independent.
 
 Sketches only nominate: nominated sets are joined to components, and inside each component all pairs are checked exactly
-on the whole sets, in pairs of blocks of bounded size. Links are counted there, and a spanning forest gives the classes.
+on the whole sets, in pairs of blocks of bounded size. Links are counted there, and edges to the smallest set of each linked group give the classes.
 Copies are one set throughout; pairs never leave a task. The work that remains is quadratic in the number of different
 sets of one component, spread over blocks.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, runs, shingles, small_batches, text_key
-from .graph import components, spanning
+from .graph import components, stars
 
 TOKENS, DEPTH, SMALL, BLOCK = 128, 3, 256, 256
 #: Standard deviations below the threshold from which a sketch nominates a pair.
@@ -133,7 +133,7 @@ def start(sets: DataFrame, threshold: float, times: int) -> DataFrame:
 
 
 def nominate(rows: DataFrame, threshold: float) -> DataFrame:
-    """Of rows (_task, _side, _set, _sketch) edges (a, b) of a spanning forest of the pairs whose sketches agree enough.
+    """Of rows (_task, _side, _set, _sketch) edges (a, b) that join the sets whose sketches agree enough, each to the smallest.
 
     A task's sides 0 and 1 are two blocks of one large node: only pairs across are compared, and within a side none.
     Without a side 1 all pairs are."""
@@ -145,8 +145,9 @@ def nominate(rows: DataFrame, threshold: float) -> DataFrame:
             near = np.stack([(x == v).mean(axis=1, dtype=np.float32) >= least for v in x]) if len(x) else np.zeros((0, 0), bool)
             if side.any():
                 near &= side[:, None] != side[None, :]
-            if edges := spanning(near):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[[i for i, _ in edges]]), pa.array(ids[[j for _, j in edges]])], ["a", "b"])
+            a, b = stars(near, ids)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return spread_tasks(rows).mapInArrow(work, "a long, b long")
 
@@ -208,7 +209,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """Of rows (_task, _side, _set, _copies, _grams): a, b edges of a spanning forest of the true links, and rows with b
+    """Of rows (_task, _side, _set, _copies, _grams): a, b edges that join linked sets, each to the smallest, and rows with b
     null and the number of documents that a task's partners stand for."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,12 +224,11 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
             if side.any():
                 near &= side[:, None] != side[None, :]
             links = near @ copies
-            edges = spanning(near)
             some = np.flatnonzero(links)
             if len(some):
-                a = np.concatenate([ids[some], ids[[i for i, _ in edges]]])
-                b = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[[j for _, j in edges]], pa.int64())])
-                yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links[some], np.zeros(len(edges), np.int64)]).astype(np.int64))], ["a", "b", "links"])
+                a, b = stars(near, ids)
+                ends = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b, pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], a])), ends, pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)]).astype(np.int64))], ["a", "b", "links"])
 
     return spread_tasks(rows).mapInArrow(work, "a long, b long, links long")
 
