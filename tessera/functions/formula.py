@@ -148,7 +148,11 @@ class Compiler:
         return F.coalesce(c.cast(NUMBER), F.lit(0).cast(NUMBER))
 
     def text(self, n: Node) -> Column:
-        return F.coalesce(self.compile(n)[0].cast("string"), F.lit(""))
+        c, kind = self.compile(n)
+        shown = c.cast("string")
+        if kind == NUMBER:  # without the zeros of its scale
+            shown = F.regexp_replace(shown, r"\.?0+$", "")
+        return F.coalesce(shown, F.lit(""))
 
     def compile(self, n: Node) -> Compiled:
         return getattr(self, f"_{n.kind}")(n)

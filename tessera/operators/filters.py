@@ -78,14 +78,14 @@ def clause(df: DataFrame, c: Clause) -> Column:
         if c.value is None:
             return F.lit(False)
         text, wanted = fold(col), F.lit(str(c.value).lower())
-        return false_if_null({"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}[op](text, wanted))
+        return col.isNotNull() & {"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith}[op](text, wanted)
     if op in ("in", "notin"):
         values = parse_list(c.value)
         if isinstance(kind, T.StringType):
             found = F.lower(col).isin([v.lower() for v in values])
         else:
             found = col.isin([literal(v, kind) for v in values])
-        found = false_if_null(found) if values else F.lit(False)
+        found = col.isNotNull() & found if values else F.lit(False)
         return ~found if op == "notin" else found
     text = isinstance(kind, T.StringType)
     left = F.lower(col) if text else col
@@ -93,10 +93,10 @@ def clause(df: DataFrame, c: Clause) -> Column:
     if op in ("eq", "ne"):
         if c.value is None:
             return col.isNull() if op == "eq" else col.isNotNull()
-        same = left == right  # plain equality reaches the scan; null is no match
-        return false_if_null(same) if op == "eq" else ~false_if_null(same)
+        same = col.isNotNull() & (left == right)  # null is no match; both halves reach the scan
+        return same if op == "eq" else ~same
     if c.value is not None:  # null is below every value
-        return {"lt": left.isNull() | (left < right), "le": left.isNull() | (left <= right), "gt": false_if_null(left > right), "ge": false_if_null(left >= right)}[op]
+        return {"lt": left.isNull() | (left < right), "le": left.isNull() | (left <= right), "gt": col.isNotNull() & (left > right), "ge": col.isNotNull() & (left >= right)}[op]
     return {"lt": below(left, right), "le": below(left, right, True), "gt": below(right, left), "ge": below(right, left, True)}[op]
 
 
