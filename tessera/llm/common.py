@@ -74,7 +74,7 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object,
 class WordHashes(dict):
     """Word to 64-bit hash; forgets all when it grows too large, which changes no value."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -36,19 +36,23 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str, ranks: str, special: str = "<|endoftext|>"):
-        import os
-
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.whole, self.special = Tokenizer.from_file(vocabulary), special
+        self.vocabulary, self.special, self.whole = vocabulary, special, None
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    def exactly(self, text: str) -> list[int]:
+        """By the tokenizer itself, which is loaded only when a text asks for it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.vocabulary)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: str) -> bytes:
-        ids = self.whole.encode(text, add_special_tokens=False).ids if self.special in text else self.fast.encode_ordinary(text)
+        ids = self.exactly(text) if self.special in text else self.fast.encode_ordinary(text)
         return np.asarray([*ids, END_ID], dtype="<u4").tobytes()
 
 

@@ -35,7 +35,7 @@ def vocabulary_of(model_file: str) -> list[tuple[str, float]]:
 class Counter(dict):
     """Segment to (pieces); forgets all when it grows too large, which changes no value."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, most: int = 400_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, most: int = 100_000):
         import ahocorasick
 
         super().__init__()
