@@ -11,16 +11,15 @@ from tessera.llm.common import Scratch, read
 from tessera.llm.jaccard import one_of_each
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
-from tessera.llm.quality import score_quality
-from tessera.llm.substring import dedupe_passages
+from tessera.llm.quality import accepted
+from tessera.llm.substring import OURS, dedupe_passages
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
-    scored = score_quality(spark, docs, read(spark, sf_dir, "labels"), keep_columns=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return accepted(spark, docs, read(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +29,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that another document owns; n_chars follows the text."""
-    shorter = dedupe_passages(spark, docs)
+    plain = docs.select(*[c for c in docs.columns if c not in OURS])
+    shorter = dedupe_passages(spark, plain)
     length = F.when(F.col("sub_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return shorter.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return shorter.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*plain.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

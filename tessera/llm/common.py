@@ -21,10 +21,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wrapped(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns of a row as one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in but]).alias("_all")
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Input below so many bytes a core is dealt out anew: one small file would otherwise keep all but one core idle.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, over as many partitions as there are cores if the estimated size is small."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimate < cores * SPREAD_BYTES else df
+
+
 class Scratch:
     """Tables written to the folder that spark.checkpoint.dir names, so that a lost executor costs no recomputation.
 

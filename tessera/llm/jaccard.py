@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, runs, shingles, small_batches, text_key
+from .common import Scratch, WordHashes, runs, shingles, small_batches, spread, text_key, wrapped
 from .graph import components, stars
 
 TOKENS, DEPTH, SMALL, BLOCK = 128, 3, 256, 256
@@ -104,7 +104,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "_row", "_set", "_sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key("doc_id", "text"), F.col("text").cast("string"))
-    return rows.mapInArrow(work, "doc_id long, _row long, _set long, _sketch binary")
+    return spread(rows).mapInArrow(work, "doc_id long, _row long, _set long, _sketch binary")
 
 
 def split(rows: DataFrame, threshold: float) -> DataFrame:
@@ -297,8 +297,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, wi
     first = rows.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first")).select("_first._row")
     gone = scratch.save(rows.select("_row").distinct().join(first, "_row", "left_anti"), "gone")
     again = scratch.save(rows.groupBy("_row").count().where("count > 1").select("_row"), "again")
-    wrapped = some.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), text_key("doc_id", "text").alias("_row"))
-    kept = wrapped.join(gone, "_row", "left_anti")
+    keyed = some.select(wrapped(some), text_key("doc_id", "text").alias("_row"))
+    kept = keyed.join(gone, "_row", "left_anti")
     if again.limit(1).count():  # repeated rows share their key: they are thinned on their own
         kept = kept.join(again, "_row", "left_anti").unionByName(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
     return kept.select("_all.*").unionByName(docs.where(F.col("text").isNull()))

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_key
+from .common import Scratch, text_key, wrapped
 
 BLOCKS = 65_536
 ROUNDS, POINTS = 6, 31  # five bisections a round, all from one pass over the sources
@@ -69,7 +69,7 @@ def _source(col: str) -> Column:
     return F.when(F.col(col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(col).cast("string")))
 
 
-def decide(
+def decisions(
     spark: SparkSession,
     docs: DataFrame,
     target_entropy: float | None = None,
@@ -81,7 +81,7 @@ def decide(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """All rows and columns of ``docs``, and mix_tokens, mix_weight, mix_block (place of its block in the permutation)
+    """All rows of ``docs`` (a struct, _all), and mix_tokens, mix_weight, mix_block (place of its block in the permutation)
     and mix_copies (how often it is taken; 0: not at all).
 
     A token is a word between white space; the budget is all tokens of the table unless given. A null source is a
@@ -123,16 +123,21 @@ def decide(
     fate = sums.join(last, ["_src", "_block"], "left").select("_src", "_block", "mix_block", F.when(F.col("_left") >= F.col("_sum"), 2.0).when(F.col("_left") <= 0, -1.0).otherwise(F.coalesce("_last", F.lit(-1.0))).alias("_last"))
     fate = scratch.save(fate, "fate")
     scratch.drop("narrow", "blocks")
-    own = docs.columns
-    rows = docs.withColumns({"_src": _source(source_col), "mix_tokens": words(F.col(text_col)), "_u": unit(1), "_v": unit(2)})
+    rows = docs.select(wrapped(docs), _source(source_col).alias("_src"), words(F.col(text_col)).alias("mix_tokens"), unit(1).alias("_u"), unit(2).alias("_v"))
     rows = rows.join(plan.select("_src", "mix_weight", "_epochs", "_blocks"), "_src").withColumn("_block", block).join(fate, ["_src", "_block"])
     copies = F.col("_epochs") + F.when((F.col("mix_weight") > 0) & (F.col("_v") <= F.col("_last")), 1).otherwise(0)
-    return rows.select(*own, "mix_tokens", "mix_weight", "mix_block", copies.cast("int").alias("mix_copies"))
+    return rows.select("_all", "mix_tokens", "mix_weight", "mix_block", copies.cast("int").alias("mix_copies"))
+
+
+def decide(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """``decisions`` with the columns of ``docs`` side by side; a column of theirs with one of our names goes."""
+    ours = ["mix_tokens", "mix_weight", "mix_block", "mix_copies"]
+    return decisions(spark, docs, **how).select(*[F.col(f"_all.`{c}`") for c in docs.columns if c not in ours], *ours)
 
 
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The chosen documents with the columns of ``docs``, each as often as it was taken."""
-    chosen = decide(spark, docs, **how).where("mix_copies > 0")
+    chosen = decisions(spark, docs, **how)
     once, more = chosen.where("mix_copies = 1"), chosen.where("mix_copies > 1")
-    again = more.withColumn("_copy", F.explode(F.sequence(F.lit(1), "mix_copies")))
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    again = more.select("_all", F.explode(F.sequence(F.lit(1), "mix_copies")))
+    return once.select("_all.*").unionByName(again.select("_all.*"))

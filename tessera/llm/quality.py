@@ -1,6 +1,7 @@
 """A quality classifier: naive Bayes features under a linear support vector machine.
 
-Features are indicators of hashed byte n-grams. Each is scaled by the log ratio of its smoothed frequencies in the two
+Features are indicators of hashed n-grams, of a text's bytes and of its words' shapes (case, ending, and whether a word
+is the one before it again), and of the text's length to the power of two. Each is scaled by the log ratio of its smoothed frequencies in the two
 classes, each document's vector is brought to length 1, and a linear hinge-loss model is fitted by dual coordinate
 descent, with the classes weighted alike. Margins of documents that a fold's model hasn't seen give the sigmoid that
 turns margins into probabilities.
@@ -13,20 +14,45 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import held_out, small_batches, unit_hash
+from .common import held_out, small_batches, spread, unit_hash, wrapped
 
 SLOT_BITS = 18
 SIZES = (1, 2, 3, 4)
+SHAPE_SIZES = (1, 2, 3)
+
+
+def shape(word: str) -> int:
+    """Case and ending of a word, below 16."""
+    case = 0 if word.islower() else 1 if word.istitle() else 2 if word.isupper() else 3
+    end = 0 if word[-1].isalnum() else 1 if word[-1] in ".,;:" else 2 if word[-1] in "!?" else 3
+    return case * 4 + end
+
+
+class Shapes(dict):
+    """Word to a number whose last four bits are its shape; forgets all when it grows too large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        n = self[word] = xxhash.xxh3_64_intdigest(word) & ~15 & (1 << 63) - 1 | shape(word)
+        return n
 
 
 class Indicators:
     """The distinct slots of a text's n-grams, ascending."""
 
     def __init__(self):
-        self.seen = np.zeros(1 << SLOT_BITS, bool)
+        self.seen, self.shapes = np.zeros(1 << SLOT_BITS, bool), Shapes()
+
+    def mark(self, grams: np.ndarray, salt: int) -> None:
+        grams = (grams ^ np.uint32(0x9E3779B1 * salt & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+        grams = (grams ^ (grams >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+        self.seen[grams >> np.uint32(32 - SLOT_BITS)] = True
 
     def __call__(self, text: str | None) -> np.ndarray:
         raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
@@ -36,9 +62,20 @@ class Indicators:
                 gram = raw[:n].copy()
                 for k in range(1, size):
                     gram |= raw[k : k + n] << np.uint32(8 * k)
-                gram = (gram ^ np.uint32(0x9E3779B1 * size & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-                gram = (gram ^ (gram >> np.uint32(15))) * np.uint32(0xC2B2AE35)
-                self.seen[gram >> np.uint32(32 - SLOT_BITS)] = True
+                self.mark(gram, size)
+        words = (text or "").split()
+        if words:
+            codes = np.fromiter(map(self.shapes.__getitem__, words), np.int64, len(words))
+            again = np.append(False, codes[1:] == codes[:-1])
+            signs = ((codes & 15) + 16 * again + 1).astype(np.uint32)
+            for size in SHAPE_SIZES:
+                n = len(signs) - size + 1
+                if n > 0:
+                    gram = signs[:n].copy()
+                    for k in range(1, size):
+                        gram |= signs[k : k + n] << np.uint32(6 * k)
+                    self.mark(gram, 10 + size)
+            self.mark(np.array([len(words).bit_length()], np.uint32), 20)
         found = np.flatnonzero(self.seen).astype(np.int32)
         self.seen[found] = False
         return found
@@ -147,28 +184,36 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([indicators(t.as_py()).tobytes() for t in b.column(1)], pa.binary()), b.column(2)], ["quality", "slots", "_order"])
 
     got = docs.join(F.broadcast(known), "doc_id").select("quality", F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("_order"))
-    got = got.mapInArrow(work, "quality int, slots binary, _order long").toArrow().sort_by("_order")
+    got = spread(got).mapInArrow(work, "quality int, slots binary, _order long").toArrow().sort_by("_order")
     return fit([np.frombuffer(x.as_py(), np.int32) for x in got["slots"]], got["quality"].to_numpy(zero_copy_only=False))
 
 
-def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, train_rows: int = 4000, keep_columns: bool = False, threshold: float = 0.7) -> DataFrame:
-    """One row per document: doc_id, held_out, score (of label 1) and predicted (1 from ``threshold`` on).
-
-    Learns from ``train`` (else ``docs``) and ``labels``: about ``train_rows`` labelled documents that are not held out,
-    chosen by a hash of the id. Null texts are as empty ones, scored without features. With fewer than three rows of a
-    class every score is the smoothed share of label 1. Repeated rows each give a row; other columns are neither read
-    nor returned, unless ``keep_columns`` asks for them; an empty table gives an empty result.
-    """
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: DataFrame | None, train_rows: int, threshold: float, whole: bool) -> DataFrame:
+    """doc_id, held_out, score and predicted; with ``whole`` also _all, the row."""
     small_batches(spark)
     model = spark.sparkContext.broadcast(learn(spark, (docs if train is None else train).select("doc_id", "text"), labels, train_rows))
-    own = docs.columns if keep_columns else ["doc_id"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], held_out().alias("_held_out"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(F.col("text").cast("string").alias("_text"), "doc_id", held_out().alias("held_out"), *([wrapped(docs)] if whole else []))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators, m = Indicators(), model.value
         for b in batches:
-            scores = np.array([m.score(indicators(t.as_py())) for t in b.column(len(own) + 1)], np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own) + 1], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*own, "held_out", "score", "predicted"])
+            scores = np.array([m.score(indicators(t.as_py())) for t in b.column(0)], np.float64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*b.schema.names[1:], "score", "predicted"])
+
+    return spread(rows).mapInArrow(work, T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, train_rows: int = 4000, threshold: float = 0.7) -> DataFrame:
+    """One row per document: doc_id, held_out, score (of label 1) and predicted (1 from ``threshold`` on).
+
+    Learns from ``train`` (else ``docs``) and ``labels``: about ``train_rows`` labelled documents that are not held out,
+    chosen by a hash of the id. Null texts are as empty ones, scored without features. With fewer than three rows of a
+    class every score is the smoothed share of label 1. Repeated rows each give a row; other columns are not read; an
+    empty table gives an empty result.
+    """
+    return scored(spark, docs, labels, train, train_rows, threshold, False)
+
 
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own]
-    return rows.mapInArrow(work, ", ".join([*kinds, "held_out boolean", "score double", "predicted int"]))
+def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, train_rows: int = 4000, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` predicts as 1, as they are."""
+    return scored(spark, docs, labels, train, train_rows, threshold, True).where("predicted = 1").select("_all.*")

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, small_batches, text_key
+from .common import Scratch, small_batches, spread, text_key, wrapped
 
 #: One word boundary in so many is a cut; a chunk without one is cut at LONGEST bytes; bytes that the gear hash spans.
 ONE_IN, LONGEST, WINDOW = 5, 512, 16
@@ -29,6 +30,7 @@ GEAR = _RNG.integers(0, 1 << 16, 256, dtype=np.uint16)
 VALUE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 NO_ID = (1 << 63) - 1
+OURS = ["sub_chunks", "sub_removed", "sub_spans"]
 
 
 class Powers:
@@ -96,7 +98,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["_digest", "_doc", "_row", "_at", "_again"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_key("doc_id", "text"), F.col("text").cast("string"))
-    return rows.mapInArrow(work, "_digest long, _doc long, _row long, _at int, _again boolean")
+    return spread(rows).mapInArrow(work, "_digest long, _doc long, _row long, _at int, _again boolean")
 
 
 def without(text: str, repeats: list[int], least: int) -> tuple[str, list[tuple[int, int]], int]:
@@ -118,7 +120,7 @@ def without(text: str, repeats: list[int], least: int) -> tuple[str, list[tuple[
 
 
 def dedupe_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 120) -> DataFrame:
-    """All rows and columns of ``docs`` with the shortened text, and sub_chunks, sub_removed (characters taken out) and
+    """All rows and columns of ``docs`` (but any with one of our names) with the shortened text, and sub_chunks, sub_removed (characters taken out) and
     sub_spans (start and end in the bytes of the old text).
 
     A null text stays null, with no chunks; an empty one stays empty. Rows that agree in doc_id count as one document:
@@ -134,24 +136,23 @@ def dedupe_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 120
     repeats = rows.where("_again").select("_row", "_at").unionByName(shared)
     repeats = scratch.save(repeats.groupBy("_row").agg(F.collect_set("_at").alias("_repeats")), "repeats")  # no more than the chunks of one text
     scratch.drop("chunks", "owners")
-    names = docs.columns
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"), text_key("doc_id", "text").alias("_row"))
-    joined = wrapped.join(repeats, "_row", "left").select("_all.*", F.col("_repeats").alias("sub_repeats"))
-    text_at, extra = names.index("text"), ["sub_chunks", "sub_removed", "sub_spans"]
+    keyed = docs.select(wrapped(docs, ("text",)), F.col("text").cast("string").alias("_text"), text_key("doc_id", "text").alias("_row"))
+    joined = keyed.join(repeats, "_row", "left").select("_text", "_repeats", "_all")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, removed, spans = [], [], [], []
-            for t, r in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist()):
-                new, gone, n = without(t or "", r or [], least_bytes)
-                texts.append(None if t is None else new)
+            for t, r in zip(b.column(0), b.column(1)):
+                old = t.as_py()
+                new, gone, n = without(old or "", r.as_py() or [], least_bytes)
+                texts.append(None if old is None else new)
                 counts.append(n)
-                removed.append(len(t or "") - len(new))
+                removed.append(len(old or "") - len(new))
                 spans.append([{"start": a, "end": z} for a, z in gone])
-            own = [*b.columns[: len(names)]]
-            own[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span)], [*names, *extra])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span)], ["_all", "_text", *OURS])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return joined.mapInArrow(work, ", ".join([*kinds, "sub_chunks long, sub_removed long, sub_spans array<struct<start:long,end:long>>"]))
+    spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kinds = [joined.schema["_all"], T.StructField("_text", T.StringType()), T.StructField("sub_chunks", T.LongType()), T.StructField("sub_removed", T.LongType()), T.StructField("sub_spans", spans_type)]
+    done = joined.mapInArrow(work, T.StructType(kinds))
+    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_all.`{c}`") for c in docs.columns if c not in OURS], *OURS)

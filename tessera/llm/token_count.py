@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, spread
 
 SPACE = "▁"
 
@@ -94,7 +94,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, model_file: str | None =
     """
     small_batches(spark)
     model_file = model_file or public_tokenizers.path("piece_bpe_32k.model")
-    kept = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    kept = spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary_of(model_file))
