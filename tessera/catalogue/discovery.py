@@ -168,13 +168,22 @@ def _(s, d):
     return ve.search(e, "vec_id", "embedding", asked, 10).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("vec_upsert_delete", "SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, label + 1 FROM embeddings WHERE vec_id % 10 = 0")
-def _(s, d):
+def _vector_log(s, d, *more):
     e = load(s, d, "embeddings").select("vec_id", "label")
     log = e.select("vec_id", F.lit("upsert").alias("op"), F.lit(1).alias("seq"), "label")
-    log = log.unionByName(e.where("vec_id % 5 = 0").select("vec_id", F.lit("delete").alias("op"), F.lit(2).alias("seq"), "label"))
-    log = log.unionByName(e.where("vec_id % 10 = 0").select("vec_id", F.lit("upsert").alias("op"), F.lit(3).alias("seq"), (F.col("label") + 1).alias("label")))
-    return ve.live(log, "vec_id", "seq").select("vec_id", "label")
+    for seq, (op, where, grown) in enumerate(more, 2):
+        log = log.unionByName(e.where(where).select("vec_id", F.lit(op).alias("op"), F.lit(seq).alias("seq"), (F.col("label") + grown).alias("label")))
+    return log
+
+
+@query("vec_upsert", "SELECT vec_id, label + CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 0 END AS label FROM embeddings")
+def _(s, d):
+    return ve.live(_vector_log(s, d, ("upsert", "vec_id % 10 = 0", 1)), "vec_id", "seq").select("vec_id", "label")
+
+
+@query("vec_delete", "SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT vec_id, label + 1 FROM embeddings WHERE vec_id % 10 = 0")
+def _(s, d):
+    return ve.live(_vector_log(s, d, ("delete", "vec_id % 5 = 0", 0), ("upsert", "vec_id % 10 = 0", 1)), "vec_id", "seq").select("vec_id", "label")
 
 
 @query("vec_centroid", "SELECT CAST(p - 1 AS INTEGER) AS position, round(avg(CAST(embedding[p] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) r(p) GROUP BY 1")

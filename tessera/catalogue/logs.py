@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -36,23 +37,58 @@ def _(s, d):
     return load(s, d, "events").groupBy(F.col("event_type").alias("value")).agg(F.sort_array(F.collect_set("user_id")).alias("ids"))
 
 
-@query("wal_compact", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+LIVE = "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'"
+
+
+def _log(s, d):
+    return load(s, d, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
+
+
+def _folder(s, name):
+    return f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tessera')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("wal_compact", LIVE)
 def _(s, d):
-    log = load(s, d, "events").withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("upsert"))
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return files.compact(log, f"{root}/compact", "user_id", "event_id", "op").select("user_id", "value")
+    return files.compact(_log(s, d), _folder(s, "compact"), "user_id", "event_id", "op").select("user_id", "value")
+
+
+@query("wal_snapshot", LIVE)
+def _(s, d):
+    return files.snapshot(_log(s, d), _folder(s, "snapshot"), "user_id", "event_id", "op").select("user_id", "value")
+
+
+@query("wal_replay", LIVE)
+def _(s, d):
+    log = _log(s, d)
+    old = log.where(F.col("event_id") <= 500)
+    return files.replay(files.snapshot(old, _folder(s, "snapshot"), "user_id", "event_id", "op"), log, "user_id", "event_id", "op").select("user_id", "value")
+
+
+@query("wal_backup", "SELECT count(*) AS differences FROM events WHERE false")
+def _(s, d):
+    log, path = _log(s, d), _folder(s, "backup")
+    log.write.parquet(path)
+    return files.differences(log, s.read.parquet(path)).agg(F.count(F.lit(1)).alias("differences"))
+
+
+@query("replicate_status", "SELECT max(event_id) AS lsn, max(event_id) - 500 AS lag FROM events")
+def _(s, d):
+    return _log(s, d).agg(F.max("event_id").alias("lsn"), (F.max("event_id") - 500).alias("lag"))
+
+
+@query("binary_serializer", "SELECT * FROM customer")
+def _(s, d):
+    path = _folder(s, "binary")
+    load(s, d, "customer").write.parquet(path)
+    return s.read.parquet(path)
 
 
-@query("wal_snapshot", "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+@query("payload_compression", "SELECT event_id, props FROM events")
 def _(s, d):
-    log = load(s, d, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    middle = log.agg((F.max("event_id") / 2).cast("long")).first()[0]
-    old = log.where(F.col("event_id") <= middle)
-    # tombstones stay in the snapshot's place until the log before it is gone
-    newest = ch.latest(old, "user_id", "event_id").crossJoin(F.broadcast(old.agg(F.max("event_id").alias("upto"))))
-    newest.write.mode("overwrite").parquet(f"{root}/snapshot")
-    return files.replay(s.read.parquet(f"{root}/snapshot"), log, "user_id", "event_id", "op").select("user_id", "value")
+    path = _folder(s, "packed")
+    load(s, d, "events").select("event_id", "props").write.option("compression", "zstd").parquet(path)
+    return s.read.parquet(path)
 
 
 @query("roll_metrics", "SELECT event_id, count(*) OVER w AS n, round(min(value) OVER w, 4) AS low, round(max(value) OVER w, 4) AS high, round(avg(value) OVER w, 4) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW)")

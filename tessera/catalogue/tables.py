@@ -9,7 +9,7 @@ from tessera.functions.scalars import display, format_value, strip_html
 from tessera.operators import filters as fl
 from tessera.operators import joins as jn
 from tessera.operators.filters import Clause, Group, QueryDefinition, Sort, filtered
-from tessera.operators.sorting import page_with_total, run_query, sort_by, top_per_group
+from tessera.operators.sorting import page_with_total, run_query, sort_by, top_per_group, truncated
 from tessera.plans.report import Report
 from tessera.plans.entities import sample_catalog
 from tessera.plans.view import Projection, View
@@ -326,6 +326,11 @@ def _(s, d):
     return Report(sample_catalog(s, d), "orders").column("orders.o_orderkey", "k").order_by("k").limit(10_000).run()
 
 
+@query("scan_limits", "SELECT count(*) > 10000 AS truncated FROM lineitem")
+def _(s, d):
+    return s.createDataFrame([(truncated(load(s, d, "lineitem")),)], "truncated boolean")
+
+
 @query("page_total", "SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'O'")
 def _(s, d):
     return page_with_total(load(s, d, "orders"), QueryDefinition(Group((Clause("o_orderstatus", "eq", "O"),)), top=10), "o_orderkey")[1]

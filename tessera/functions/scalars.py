@@ -61,6 +61,28 @@ def fnv1a_32(c: Column) -> Column:
     return F.when(c == "", F.lit(FNV_BASIS).cast("long")).otherwise(F.aggregate(codes, F.lit(FNV_BASIS).cast("long"), step))
 
 
+#: Fixed value of the Castagnoli polynomial, bits reversed.
+CASTAGNOLI = 0x82F63B78
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (CASTAGNOLI if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def crc32c(c: Column) -> Column:
+    """CRC-32C of the UTF-8 bytes of a text, as an unsigned number in a long."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("(..)"), F.lit(1))
+    codes = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("long"))
+    table = F.lit(_crc_table()).cast("array<long>")
+    step = lambda h, b: F.get(table, h.bitwiseXOR(b).bitwiseAND(F.lit(255)).cast("int")).bitwiseXOR(F.shiftright(h, 8))
+    return F.aggregate(codes, F.lit(0xFFFFFFFF).cast("long"), step, lambda h: h.bitwiseXOR(F.lit(0xFFFFFFFF)))
+
+
 def split_list(c: Column) -> Column:
     """Comma-separated values, trimmed, blanks dropped."""
     return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")

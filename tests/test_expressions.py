@@ -87,6 +87,19 @@ def test_scalars(spark):
     assert abs(one.half - 6371 * 3.14159265) < 0.01
 
 
+def test_crc32c(spark):
+    def plain(text):
+        h = 0xFFFFFFFF
+        for b in text.encode():
+            h ^= b
+            for _ in range(8):
+                h = (h >> 1) ^ (sc.CASTAGNOLI if h & 1 else 0)
+        return h ^ 0xFFFFFFFF
+
+    rows = spark.createDataFrame([("123456789",), ("",), ("naïve ¿?",)], "t string").select("t", sc.crc32c(F.col("t")).alias("crc")).collect()
+    assert rows[0].crc == 0xE3069283 and all(r.crc == plain(r.t) for r in rows)
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("a@b.co", "+1 555 123 4567", "https://x.y/z", "ab"), ("nope", "call", "ftp://x", "abcdef"), ("", None, "", "")], "mail string, tel string, url string, s string")
     rules = {"mail": va.email(F.col("mail")), "tel": va.phone(F.col("tel")), "url": va.url(F.col("url")), "len": va.length(F.col("s"), 1, 3), "rule": va.rule(df, "nothing > 1")}
