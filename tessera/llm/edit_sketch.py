@@ -19,7 +19,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_key
@@ -115,17 +115,23 @@ KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+def above(cuts: list[int], value: Column) -> Column:
+    """How many of the descending cuts are above the value, by binary search."""
+    powers = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    if not powers:
+        return F.lit(0)
+    table = F.lit(cuts).cast("array<long>")
+    step = lambda at, p: at + F.when(F.coalesce(F.get(table, at + p - 1) > value, F.lit(False)), p).otherwise(0)
+    return F.aggregate(F.lit(powers).cast("array<int>"), F.lit(0), step)
+
+
 def in_segments(spark: SparkSession, docs: DataFrame, segments: int) -> DataFrame:
     """doc_id, _text, _seg, _guest: documents in descending order of doc_id, cut into segments, each followed by a guest,
     the document that comes after its last one. Only ids go to the driver: one a segment."""
     ids = docs.select("doc_id")
     cuts = ids.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", [k / segments for k in range(1, segments)], 20_000) if segments > 1 else F.array().cast("array<long>")).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
-    seg = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1))
-    if cuts:
-        seg = seg.otherwise(F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c > F.col("doc_id"))))
-    else:
-        seg = seg.otherwise(F.lit(0))
+    seg = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above(cuts, F.col("doc_id")))
     heads = sorted((r["_seg"], r["head"]) for r in ids.groupBy(seg.cast("int").alias("_seg")).agg(F.max("doc_id").alias("head")).collect())
     guests = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
     own = docs.select("doc_id", F.col("text").cast("string").alias("_text")).withColumn("_own", seg.cast("int"))
