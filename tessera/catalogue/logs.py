@@ -32,9 +32,9 @@ def _(s, d):
     return ch.patch(rows, deltas, "c_custkey", "version", read_only=("c_name",)).select("c_custkey", "c_mktsegment", "version", "status")
 
 
-@query("cdc_projection", "SELECT event_type AS value, list_sort(list_distinct(list(user_id))) AS ids FROM events GROUP BY 1")
+@query("cdc_projection", "SELECT DISTINCT event_type AS value, user_id AS id FROM events")
 def _(s, d):
-    return load(s, d, "events").groupBy(F.col("event_type").alias("value")).agg(F.sort_array(F.collect_set("user_id")).alias("ids"))
+    return load(s, d, "events").select(F.col("event_type").alias("value"), F.col("user_id").alias("id")).distinct()
 
 
 LIVE = "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'"
@@ -120,7 +120,7 @@ def _(s, d):
     return seen.crossJoin(F.broadcast(now)).where(F.col("last_seen") >= F.col("now") - F.expr("interval 2 hours")).drop("now")
 
 
-@query("idx_secondary", "SELECT event_type AS value, list_sort(list(user_id)) AS ids FROM (SELECT event_type, user_id, arg_max(event_id % 3, event_id) AS op FROM events GROUP BY ALL) WHERE op <> 0 GROUP BY 1")
+@query("idx_secondary", "SELECT event_type AS value, user_id AS id FROM (SELECT event_type, user_id, arg_max(event_id % 3, event_id) AS op FROM events GROUP BY ALL) WHERE op <> 0")
 def _(s, d):
     log = load(s, d, "events").withColumn("op", F.when(F.col("event_id") % 3 == 0, "D").otherwise("A"))
     return ch.index_log(log, "event_type", "user_id", "event_id", "op")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import settle
+
 
 def latest(log: DataFrame, key: str, seq: str, op: str | None = None) -> DataFrame:
     """The newest row of each key; keys whose newest op is delete are gone. A partial aggregate, not a sort."""
@@ -43,12 +45,12 @@ def diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> Da
 
 
 def index_log(log: DataFrame, value: str, key: str, seq: str, op: str, now: Column | None = None, expires: str | None = None) -> DataFrame:
-    """value, ids: from a log of added (A) and deleted (D) entries the live ids of each value, sorted; expired ones go."""
+    """value, id: from a log of added (A) and deleted (D) entries the live ids of each value, a row each; expired ones go."""
     newest = log.groupBy(value, key).agg(F.max_by(F.struct(op, *([expires] if expires else [])), seq).alias("_e"))
     alive = newest.where(F.col(f"_e.{op}") == "A")
     if expires:
         alive = alive.where(F.col(f"_e.{expires}").isNull() | (F.col(f"_e.{expires}") > now))
-    return alive.groupBy(F.col(value).alias("value")).agg(F.sort_array(F.collect_set(key)).alias("ids"))
+    return alive.select(F.col(value).alias("value"), F.col(key).alias("id"))
 
 
 @dataclass(frozen=True)
@@ -113,6 +115,12 @@ def undelta(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
 
 
 def dictionary(df: DataFrame, field: str) -> DataFrame:
-    """value, code: distinct values numbered in order from 0. A dictionary is as small as its column's value set."""
+    """value, code: distinct values numbered in order from 0.
+
+    Values are sorted by range and numbered within each partition; the partitions' counts, one row each, give the rest."""
     values = df.where(F.col(field).isNotNull()).select(F.col(field).alias("value")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    at = F.monotonically_increasing_id()
+    ranged = settle(values.repartitionByRange("value").sortWithinPartitions("value").select("value", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return ranged.join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("place")).cast("int").alias("code"))

@@ -95,8 +95,26 @@ def clients(events: DataFrame, client: str, when: str, limit: int, lowered: int,
             state = advance(state, s, limit, lowered, width)
         return state
 
+    names = [f.split()[0] for f in CLIENT.split(", ")]
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by client and time; only one client's state is held, however many events it has."""
+        now, state = None, EMPTY
+        for pdf in frames:
+            out = []
+            for c, t in zip(pdf["client"].tolist(), pdf["t"].tolist()):
+                if c != now:
+                    if now is not None:
+                        out.append((now, *state))
+                    now, state = c, EMPTY
+                state = advance(state, t, limit, lowered, width)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if now is not None:
+            yield pd.DataFrame([(now, *state)], columns=names)
+
     if not events.isStreaming:
-        return rows.groupBy("client").applyInPandas(lambda key, pdf: pd.DataFrame([(key[0], *run(pdf["t"], EMPTY))], columns=[f.split()[0] for f in CLIENT.split(", ")]), CLIENT)
+        return rows.where("client is not null").repartition("client").sortWithinPartitions("client", "t").mapInPandas(fold, CLIENT)
 
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -107,7 +125,7 @@ def clients(events: DataFrame, client: str, when: str, limit: int, lowered: int,
         state.update(now)
         if idle:
             state.setTimeoutDuration(idle)
-        yield pd.DataFrame([(key[0], *now)], columns=[f.split()[0] for f in CLIENT.split(", ")])
+        yield pd.DataFrame([(key[0], *now)], columns=names)
 
     kept = CLIENT.removeprefix("client long, ")
     return rows.groupBy("client").applyInPandasWithState(keep, CLIENT, kept, "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
