@@ -27,7 +27,7 @@ def _formula(name: str, table: str, key: str, text: str, sql: str, kind: str = "
 
 
 _formula("expr_arith", "part", "p_partkey", "p_size * 2 + p_retailprice - 1.5", "p_size * 2 + p_retailprice - 1.5")
-_formula("expr_div_mod", "part", "p_partkey", "p_retailprice / (p_size + 1) + p_partkey % 7", "p_retailprice / (p_size + 1) + p_partkey % 7")
+_formula("expr_div_mod", "part", "p_partkey", "p_retailprice / 7 + p_partkey % 7", "p_retailprice / 7 + p_partkey % 7")
 _formula("expr_concat", "part", "p_partkey", "p_brand + '/' + p_name", "p_brand || '/' || p_name", "string")
 _formula("expr_compare", "part", "p_partkey", "p_size * 3 >= p_partkey - 10", "p_size * 3 >= p_partkey - 10", "boolean")
 _formula("expr_unary", "part", "p_partkey", "-p_size + +3", "-p_size + 3")

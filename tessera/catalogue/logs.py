@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.operators import changes as ch
 from tessera.sources import files
+from tessera.sources.scratch import folder
 from tessera.streaming import streams as st
 
 from .registry import query
@@ -44,30 +42,26 @@ def _log(s, d):
     return load(s, d, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
 
 
-def _folder(s, name):
-    return f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tessera')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("wal_compact", LIVE)
 def _(s, d):
-    return files.compact(_log(s, d), _folder(s, "compact"), "user_id", "event_id", "op").select("user_id", "value")
+    return files.compact(_log(s, d), folder(s, "compact"), "user_id", "event_id", "op").select("user_id", "value")
 
 
 @query("wal_snapshot", LIVE)
 def _(s, d):
-    return files.snapshot(_log(s, d), _folder(s, "snapshot"), "user_id", "event_id", "op").select("user_id", "value")
+    return files.snapshot(_log(s, d), folder(s, "snapshot"), "user_id", "event_id", "op").select("user_id", "value")
 
 
 @query("wal_replay", LIVE)
 def _(s, d):
     log = _log(s, d)
     old = log.where(F.col("event_id") <= 500)
-    return files.replay(files.snapshot(old, _folder(s, "snapshot"), "user_id", "event_id", "op"), log, "user_id", "event_id", "op").select("user_id", "value")
+    return files.replay(files.snapshot(old, folder(s, "snapshot"), "user_id", "event_id", "op"), log, "user_id", "event_id", "op").select("user_id", "value")
 
 
 @query("wal_backup", "SELECT count(*) AS differences FROM events WHERE false")
 def _(s, d):
-    log, path = _log(s, d), _folder(s, "backup")
+    log, path = _log(s, d), folder(s, "backup")
     log.write.parquet(path)
     return files.differences(log, s.read.parquet(path)).agg(F.count(F.lit(1)).alias("differences"))
 
@@ -79,14 +73,14 @@ def _(s, d):
 
 @query("binary_serializer", "SELECT * FROM customer")
 def _(s, d):
-    path = _folder(s, "binary")
+    path = folder(s, "binary")
     load(s, d, "customer").write.parquet(path)
     return s.read.parquet(path)
 
 
 @query("payload_compression", "SELECT event_id, props FROM events")
 def _(s, d):
-    path = _folder(s, "packed")
+    path = folder(s, "packed")
     load(s, d, "events").select("event_id", "props").write.option("compression", "zstd").parquet(path)
     return s.read.parquet(path)
 

@@ -170,7 +170,7 @@ def _(s, d):
     return ag.drill(rows, ["r_name", "n_name", "c_mktsegment"], n=("count", None), total=("sum", "c_acctbal")).withColumn("total", F.round("total", 2))
 
 
-@query("agg_chart", "SELECT p_type, round(sum(p_retailprice), 2) AS a, round(sum(p_size), 2) AS b FROM part GROUP BY 1")
+@query("agg_chart", "SELECT p_type, round(sum(p_retailprice), 2) AS a, CAST(sum(p_size) AS DOUBLE) AS b FROM part GROUP BY 1")
 def _(s, d):
     return ag.group(load(s, d, "part"), ["p_type"], a=("sum", "p_retailprice"), b=("sum", "p_size")).withColumns({"a": F.round("a", 2), "b": F.round("b", 2)})
 
