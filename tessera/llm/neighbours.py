@@ -37,20 +37,20 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("_vec") == (sizes[0]["size"] if sizes else 0))
 
 
-def _array(column: pa.ChunkedArray | pa.Array, kind: str = "<f4") -> np.ndarray:
+def _array(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     got = column.to_pylist()
-    return np.frombuffer(b"".join(got), kind).reshape(len(got), -1)
+    return np.frombuffer(b"".join(got), "<f2").reshape(len(got), -1).astype(np.float32)
 
 
 def units(nodes: DataFrame) -> DataFrame:
-    """node and its vector at length 1, as the bytes of 32-bit floats."""
+    """node and its vector at length 1, as the bytes of 16-bit floats: enough to steer by, and half of what moves."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = np.stack(b.column(1).to_numpy(zero_copy_only=False))
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("<f4")
+                x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("<f2")
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["node", "unit"])
 
     return nodes.select("node", "_vec").mapInArrow(work, "node long, unit binary")
@@ -224,14 +224,15 @@ def cosine(a: str, b: str):
 
 def nearest(
     spark: SparkSession, rows: DataFrame, every: int = 50, most: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    degree: int = 28, trees: int = 6, rounds: int = 6, still: float = 0.02, beam: int = 64, expand: int = 12, hops: int = 14,
+    degree: int = 28, trees: int = 6, rounds: int = 6, still: float = 0.02, beam: int = 16, hops: int = 20,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose id is divisible by ``every`` the ``most`` nearest other rows.
 
     Score is the cosine in double precision on the vectors as given. Nearest first, ties to the smaller id. Vectors that
     are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or with another number
     of components than most rows have. Equal vectors are found through their node: its ``most`` + 1 smallest ids stand
-    for all, since no answer can hold more. Rows that repeat an id count as one if their vectors agree, and as several
+    for all, since no answer can hold more. A query keeps ``beam`` nodes for each doubling of the number of nodes, and expands
+    a fifth of them a hop. Rows that repeat an id count as one if their vectors agree, and as several
     with that id if not. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "near")
@@ -245,9 +246,10 @@ def nearest(
     nodes = scratch.save(units(vectors), "units")
     count = nodes.count()
     graph = descend(nodes, count, scratch, degree, trees, rounds, still)
+    wide = max(2 * degree, round(beam * math.log2(count + 1)))
     queries = scratch.save(keyed.where(F.pmod("_id", F.lit(every)) == 0).select(F.col("_id").alias("query_id"), F.col("_key").alias("q")), "queries")
-    found = search(nodes, graph, queries.select(F.col("q").alias("node")).distinct(), scratch, beam, expand, hops)
-    # more nodes than answers, since 32-bit similarities rank them
+    found = search(nodes, graph, queries.select(F.col("q").alias("node")).distinct(), scratch, wide, max(1, wide // 5), hops)
+    # more nodes than answers, since 16-bit vectors rank them
     order = Window.partitionBy("q").orderBy(F.desc("s"), "node")
     found = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= 3 * most + 3).select("q", "node")
     scored = found.join(vectors.withColumnRenamed("_vec", "_a"), "node").join(vectors.select(F.col("node").alias("q"), F.col("_vec").alias("_b")), "q")
