@@ -5,7 +5,8 @@ hyperplanes of a tree share a leaf and take their nearest leaf mates as first ne
 every node's neighbours, in either direction, are joined to the node; each pair of them, of which one is new, is
 compared, and every node keeps its ``degree`` best. The rounds end when few lists still change. A query starts from its
 own node's list, and repeatedly the best nodes not yet expanded are joined with the graph and their neighbours compared
-with the query, until the best ``beam`` nodes of a query are all expanded.
+with the query, until the best ``beam`` nodes of a query are all expanded. The whole beam is then scored in double
+precision on the vectors as given.
 
 Graph, vectors and beams are tables throughout. Leaves and neighbourhoods larger than a block are dealt to blocks by a
 hash; a block is what one task holds. Nothing that grows with the rows is broadcast.
@@ -39,18 +40,25 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _array(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     got = column.to_pylist()
-    return np.frombuffer(b"".join(got), "<f2").reshape(len(got), -1).astype(np.float32)
+    return np.frombuffer(b"".join(got), "<f4").reshape(len(got), -1)
+
+
+def closeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine less 1 of all pairs of unit vectors, as half the negative squared distance: in double precision, since the
+    cosines of near vectors differ by less than 32 bits hold, and small enough for a 32-bit float once 1 is taken off."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    return (a @ b.T - ((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]) / 2).astype(np.float32)
 
 
 def units(nodes: DataFrame) -> DataFrame:
-    """node and its vector at length 1, as the bytes of 16-bit floats: enough to steer by, and half of what moves."""
+    """node and its vector at length 1, as the bytes of 32-bit floats."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = np.stack(b.column(1).to_numpy(zero_copy_only=False))
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("<f2")
+                x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype("<f4")
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["node", "unit"])
 
     return nodes.select("node", "_vec").mapInArrow(work, "node long, unit binary")
@@ -77,10 +85,11 @@ def leaves(nodes: DataFrame, count: int, trees: int, seed: int = 5) -> DataFrame
 
 
 def dealt(rows: DataFrame, sizes: DataFrame, key: str, member: str, most: int, seed: int) -> DataFrame:
-    """The rows with _task: groups larger than ``most`` are dealt to blocks of about that size by a hash of the member."""
+    """The rows with _task: groups larger than ``most`` are dealt to blocks of about that size by a hash of the
+    member and the group, so that no two groups are dealt alike."""
     parts = F.ceil(F.col("_size") / most)
     rows = rows.join(sizes.withColumnRenamed("count", "_size"), key)
-    return rows.withColumn("_task", F.xxhash64(key, F.pmod(F.xxhash64(F.lit(seed), member), parts))).drop("_size").repartition("_task").sortWithinPartitions("_task")
+    return rows.withColumn("_task", F.xxhash64(key, F.pmod(F.xxhash64(F.lit(seed), key, member), parts))).drop("_size").repartition("_task").sortWithinPartitions("_task")
 
 
 def _best(sims: np.ndarray, ids: np.ndarray, most: int) -> pa.RecordBatch:
@@ -98,7 +107,7 @@ def first_graph(tasks: DataFrame, degree: int) -> DataFrame:
         for _, group in runs(batches, "_task"):
             x, ids = _array(group["unit"]), group["node"].to_numpy()
             if len(ids) > 1:
-                sims = x @ x.T
+                sims = closeness(x, x)
                 np.fill_diagonal(sims, -np.inf)
                 yield _best(sims, ids, degree)
 
@@ -116,7 +125,7 @@ def keep_best(edges: DataFrame, degree: int) -> DataFrame:
             once = np.append(True, v[1:] != v[:-1])
             v, s, fresh = v[once], s[once], fresh[once]
             top = np.argsort(-s, kind="stable")[:degree]
-            worst = s[top[-1]] if len(top) == degree else np.float32(-2)
+            worst = s[top[-1]] if len(top) == degree else np.float32(-3)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), u, np.int64)), pa.array(v[top]), pa.array(s[top]), pa.array(fresh[top]), pa.array(np.full(len(top), worst, np.float32))], ["u", "v", "s", "fresh", "worst"])
 
     return edges.repartition("u").sortWithinPartitions("u").mapInArrow(work, f"{EDGE}, worst float")
@@ -135,7 +144,7 @@ def local_joins(tasks: DataFrame, degree: int) -> DataFrame:
             if not fresh.any():
                 continue
             x, worst = _array(group["unit"])[first], group["worst"].to_numpy()[first]
-            sims = x @ x.T
+            sims = closeness(x, x)
             sims[(sims <= worst[:, None]) | ~(fresh[:, None] | fresh[None, :])] = -np.inf
             np.fill_diagonal(sims, -np.inf)
             out = _best(sims, ids, degree)
@@ -153,7 +162,7 @@ def descend(nodes: DataFrame, count: int, scratch: Scratch, degree: int, trees:
     scratch.drop("leaves")
     for k in range(1, rounds + 1):
         worst = graph.select(F.col("u").alias("member"), "worst").distinct()
-        told = nodes.withColumnRenamed("node", "member").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float")))
+        told = nodes.withColumnRenamed("node", "member").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(-3.0).cast("float")))
         both = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh").unionByName(graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh"))
         both = both.groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
         alive = both.groupBy("centre").agg(F.count(F.lit(1)).alias("count"), F.max("fresh").alias("_any")).where("_any").drop("_any")
@@ -185,7 +194,7 @@ def compare(rows: DataFrame, beam: int) -> DataFrame:
             new = np.isnan(s)
             if new.any():
                 s = s.copy()
-                s[new] = _array(rest["unit"].filter(pa.array(new))) @ _array(mine["unit"])[0]
+                s[new] = closeness(_array(rest["unit"].filter(pa.array(new))), _array(mine["unit"]))[:, 0]
             by = np.lexsort((~done, node))
             once = by[np.append(True, node[by][1:] != node[by][:-1])]
             top = once[np.argsort(-s[once], kind="stable")[:beam]]
@@ -200,7 +209,7 @@ def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, scratch: Scrat
     links = scratch.save(links, "links")
     asked = scratch.save(starts.select(F.col("node").alias("q")).join(nodes.withColumnRenamed("node", "q"), "q"), "asked")
     own = asked.select("q", F.lit(None).cast("long").alias("node"), F.lit(float("nan")).cast("float").alias("s"), F.lit(True).alias("done"), "unit")
-    state = asked.select("q", F.col("q").alias("node"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("done"))
+    state = asked.select("q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("s"), F.lit(False).alias("done"))
     state = scratch.save(state, "beam0")
     for k in range(1, hops + 1):
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))
@@ -249,10 +258,7 @@ def nearest(
     wide = max(2 * degree, round(beam * math.log2(count + 1)))
     queries = scratch.save(keyed.where(F.pmod("_id", F.lit(every)) == 0).select(F.col("_id").alias("query_id"), F.col("_key").alias("q")), "queries")
     found = search(nodes, graph, queries.select(F.col("q").alias("node")).distinct(), scratch, wide, max(1, wide // 5), hops)
-    # more nodes than answers, since 16-bit vectors rank them
-    order = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-    found = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= 3 * most + 3).select("q", "node")
-    scored = found.join(vectors.withColumnRenamed("_vec", "_a"), "node").join(vectors.select(F.col("node").alias("q"), F.col("_vec").alias("_b")), "q")
+    scored = found.select("q", "node").join(vectors.withColumnRenamed("_vec", "_a"), "node").join(vectors.select(F.col("node").alias("q"), F.col("_vec").alias("_b")), "q")
     scored = scratch.save(scored.select("q", "node", cosine("_b", "_a").alias("score")), "scored")
     pairs = queries.join(scored, "q").join(members.select(F.col("_key").alias("node"), F.col("_id").alias("vec_id")), "node").where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -59,3 +59,19 @@ def test_small_tables(spark):
     got, _ = run(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])])
     assert [i for i, _ in got[0]] == [2, 1]
     assert nearest(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_recall_in_dense_groups(spark):
+    """Groups of different vectors whose cosines differ by less than 16-bit rounding, among others."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.standard_normal(32).tolist()) for k in range(300)]
+    for g, noise in enumerate((2e-2, 1e-3, 1e-4)):
+        centre = rng.standard_normal(32)
+        rows += [(1000 * (g + 1) + k, (centre + noise * rng.standard_normal(32)).tolist()) for k in range(1000)]
+    got, _ = run(spark, rows)
+    want = brute(rows, 50, 5)
+    assert set(got) == set(want)
+    for g in range(4):
+        kept = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want if q // 1000 == g]
+        print(f"group {g}: recall {np.mean(kept):.3f}")
+        assert np.mean(kept) >= 0.95
