@@ -7,7 +7,7 @@ one size. A run starts with all sets at one node; a node splits on sampled token
 Nodes of one set die, small ones are compared by brute force on sketches, large ones split again; those that are still
 large after ``DEPTH`` splits hold truly similar sets and are compared in pairs of blocks. Runs repeat until a pair at
 the threshold is met with the target recall: a pair shares a node ``d`` splits deep as a branching process with mean
-one child survives, and runs are independent.
+one child survives. At the roots all sets share one draw, so the positions that the roots really draw are counted.
 
 Sketches only nominate: nominated sets are joined to components, and inside each component all pairs are checked exactly
 on the whole sets, in pairs of blocks of bounded size. Links are counted there, and edges to the smallest set of each linked group give the classes.
@@ -44,9 +44,58 @@ def chance(depth: int) -> float:
 
 
 def runs_for(recall: float, depth: int = DEPTH) -> int:
+    """Runs that the recall would take if each pair's draws at the roots were its own; ``roots_for`` counts the real ones."""
     return math.ceil(math.log(1 - recall) / math.log(1 - chance(depth)))
 
 
+def drawn_at(paths: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The mixed value of each sketch position under each path, and whether the position is drawn there."""
+    place = _mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    mixed = _mix(paths[:, None] ^ place)
+    return mixed, mixed < np.uint64(int((1 << 64) / (threshold * TOKENS)))
+
+
+def nominates_at(threshold: float) -> float:
+    """The share of agreeing sketch positions from which a pair is nominated."""
+    return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / TOKENS)
+
+
+def missed(times: np.ndarray, threshold: float, depth: int = DEPTH) -> float:
+    """That a pair at the threshold, all of whose nodes are large, is not nominated when the roots draw each sketch
+    position so many times.
+
+    All sets share a root's draws, so those are counted as they are, and only the draws below are random. A pair whose
+    sketches agree in ``a`` positions goes on from a shared node to a mean of a / (threshold * TOKENS) shared children."""
+    agree = np.arange(TOKENS + 1)
+    dead = np.zeros(TOKENS + 1)
+    for _ in range(depth - 1):
+        dead = (1 - (1 - dead) / (threshold * TOKENS)) ** agree
+    dead[agree < nominates_at(threshold) * TOKENS] = 1.0
+    ways = np.zeros((TOKENS + 1, TOKENS + 1))  # for each a: the weight of meeting nowhere, by agreeing positions so far
+    ways[:, 0] = 1.0
+    for n in times:
+        met = threshold * ways * (dead ** int(n))[:, None]
+        ways *= 1 - threshold
+        ways[:, 1:] += met[:, :-1]
+    return float(np.trace(ways))
+
+
+def roots_for(threshold: float, recall: float, depth: int = DEPTH) -> np.ndarray:
+    """Paths of the roots, all of which draw some position, as many as bring ``missed`` down to 1 - recall.
+
+    A pair that the sketches themselves miss no root can meet; if that alone is more, the roots end when they gain no more."""
+    roots, times, floor = [], np.zeros(TOKENS, np.int64), missed(np.full(TOKENS, 64), threshold, depth)
+    for k in range(1, 64 * TOKENS):
+        root = _mix(np.array([k], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        drawn = drawn_at(root, threshold)[1][0]
+        if drawn.any():
+            roots.append(root)
+            times += drawn
+            if missed(times, threshold, depth) <= max(1 - recall, 1.05 * floor):
+                break
+    return np.concatenate(roots)
+
+
 class Sets:
     """A text's sorted n-gram hashes, the key of that set, and its sketch."""
 
@@ -81,10 +130,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def children(paths: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each row (a path and its set's sketch) the row numbers and paths of its children."""
-    place = _mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    drawn = _mix(paths[:, None] ^ place)
-    row, at = np.nonzero(drawn < np.uint64(int((1 << 64) / (threshold * TOKENS))))
-    return row, _mix(drawn[row, at] ^ (sketches[row, at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    mixed, drawn = drawn_at(paths, threshold)
+    row, at = np.nonzero(drawn)
+    return row, _mix(mixed[row, at] ^ (sketches[row, at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -117,8 +165,8 @@ def split(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("_set", "_path", "_sketch").mapInArrow(work, "_set long, _path long")
 
 
-def start(sets: DataFrame, threshold: float, times: int) -> DataFrame:
-    roots = _mix(np.arange(1, times + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def start(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    roots = roots_for(threshold, recall)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +185,7 @@ def nominate(rows: DataFrame, threshold: float) -> DataFrame:
 
     A task's sides 0 and 1 are two blocks of one large node: only pairs across are compared, and within a side none.
     Without a side 1 all pairs are."""
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / TOKENS)
+    least = nominates_at(threshold)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in runs(batches, "_task"):
@@ -170,7 +218,7 @@ def in_blocks(rows: DataFrame, node: str, size: str, keep: list[str]) -> DataFra
 
 def candidates(sets: DataFrame, scratch: Scratch, threshold: float, recall: float) -> DataFrame:
     """Edges between sets that the runs have met in one node and whose sketches agree enough."""
-    state = scratch.save(start(sets, threshold, runs_for(recall)), "state1")
+    state = scratch.save(start(sets, threshold, recall), "state1")
     edges = []
     for depth in range(1, DEPTH + 1):
         sizes = state.groupBy("_path").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")

@@ -97,3 +97,31 @@ def test_components_of_chains(spark, n):
     edges = [(k, k + 1) for k in range(n)] + [(1000 + k, 2000) for k in range(n)]
     out = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), f"c{n}").collect()
     assert {r.node: r.label for r in out} == {k: 0 for k in range(n + 1)} | {1000 + k: 1000 for k in range(n)} | {2000: 1000}
+
+
+def test_recall_at_the_threshold_three_splits_deep(spark, monkeypatch):
+    """Pairs whose sketches agree in each position with the threshold's chance, and whose nodes all split to the end."""
+    import numpy as np
+
+    import tessera.llm.jaccard as m
+
+    monkeypatch.setattr(m, "SMALL", 0)
+    rng, n = np.random.default_rng(7), 8000
+    a, b = rng.integers(0, 1 << 32, (2, n, m.TOKENS), dtype=np.uint32)
+    b = np.where(rng.random(b.shape) < 0.8, a, b)
+    rows = [(2 * k + j, x[k].tobytes()) for k in range(n) for j, x in enumerate((a, b))]
+    sets = spark.createDataFrame(rows, "_set long, _sketch binary").repartition(4)
+    met = m.candidates(sets, Scratch(spark, "deep"), 0.8, 0.999).distinct().count()
+    print(f"missed {n - met} of {n}")
+    assert n - met <= 16
+
+
+def test_roots_draw_enough_positions():
+    import numpy as np
+
+    import tessera.llm.jaccard as m
+
+    roots = m.roots_for(0.8, 0.999)
+    drawn = m.drawn_at(roots, 0.8)[1]
+    assert drawn.any(axis=1).all() and m.missed(drawn.sum(axis=0), 0.8) <= 0.001
+    assert m.missed(np.zeros(m.TOKENS, int), 0.8) > 0.999
