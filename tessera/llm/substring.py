@@ -1,7 +1,8 @@
 """Removal of passages that repeat, found by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; where a word begins and the hash of the ``WINDOW`` bytes before it is low,
-a chunk ends. Cuts depend on nearby bytes alone, so an insertion moves no cut but those beside it, and a passage that
+a chunk ends. Where no word has begun for ``WORDLESS`` bytes (scripts without spaces, encoded data) the hash cuts between
+characters; only what it leaves longer than ``LONGEST`` is cut by length. Cuts depend on nearby bytes alone, so an insertion moves no cut but those beside it, and a passage that
 occurs twice has the same chunks inside both times. Chunks are known by a 64-bit digest. The document with the smallest
 doc_id that holds a chunk owns it; elsewhere, and after its first place in a document, the chunk is a repeat. Runs of
 neighbouring repeats of at least ``least_bytes`` together are taken out; shorter ones (a common phrase, a licence line)
@@ -25,6 +26,8 @@ from .common import Scratch, small_batches, spread, text_key, wrapped
 
 #: One word boundary in so many is a cut; a chunk without one is cut at LONGEST bytes; bytes that the gear hash spans.
 ONE_IN, LONGEST, WINDOW = 5, 512, 16
+#: Where no word has begun for WORDLESS bytes, one byte in so many is a cut if its hash is below those of the 8 before.
+WORDLESS, ONE_BYTE_IN = 64, 24
 _RNG = np.random.default_rng(1)
 GEAR = _RNG.integers(0, 1 << 16, 256, dtype=np.uint16)
 VALUE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,8 +63,15 @@ def chunks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     before, here = raw[:-1], raw[1:]
     begins = ((before == 32) | ((before >= 9) & (before <= 13)) | (here >= 0xE3)) & (here != 32)
-    low = gear(raw)[:-1] < np.uint16((1 << 16) // ONE_IN)
-    cuts = np.concatenate([[0], np.flatnonzero(begins & low) + 1, [len(raw)]])
+    h = gear(raw)[:-1]
+    cuts = np.concatenate([[0], np.flatnonzero(begins & (h < np.uint16((1 << 16) // ONE_IN))) + 1, [len(raw)]])
+    words = np.concatenate([[0], np.flatnonzero(begins) + 1, [len(raw)]])
+    if (np.diff(words) > WORDLESS).any():
+        at = np.flatnonzero((h < np.uint16((1 << 16) // ONE_BYTE_IN)) & ((here & 0xC0) != 0x80)) + 1
+        at = at[at - words[np.searchsorted(words, at, "right") - 1] > WORDLESS]
+        for k in range(1, 9):  # a stretch of one character has no place of its own
+            at = at[h[at - 1] < h[at - 1 - k]]
+        cuts = np.union1d(cuts, at)
     if (np.diff(cuts) > LONGEST).any():
         cuts = np.concatenate([np.append(np.arange(a, b - LONGEST // 2, LONGEST), a) if b - a > LONGEST else [a] for a, b in zip(cuts, cuts[1:])] + [[len(raw)]])
         cuts = np.unique(cuts)

@@ -84,3 +84,19 @@ def test_odd_rows(spark):
     assert by[1] == [None] and by[2] == [""] and by[3] == [long, long] and len(by[4][0]) == 0 and len(by[None][0]) == 0
     assert len(by[5][0]) < len(rows[-1][1])
     assert dedupe_passages(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shifted_repeats_without_words_share_chunks():
+    rng = random.Random(11)
+    for letters in ("".join(map(chr, range(0x0E01, 0x0E2F))), "".join(map(chr, range(0x1780, 0x17A3))), "ACGT", "ABCDEFGHabcdefgh0123456789+/"):
+        made = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        shared = total = 0
+        for _ in range(20):
+            passage = made(900)
+            a, b = raw_of(made(300) + passage + made(200)), raw_of(made(rng.randrange(301, 700)) + passage + made(50))
+            x, y = (digests(r, *chunks(r), Powers()) for r in (a, b))
+            starts, ends = chunks(b)
+            shared += int((ends - starts)[np.isin(y, x)].sum())
+            total += len(passage.encode())
+        print(f"{shared / total:.3f} of the bytes in shared chunks")
+        assert shared >= 0.85 * total
