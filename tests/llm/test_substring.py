@@ -100,3 +100,20 @@ def test_shifted_repeats_without_words_share_chunks():
             total += len(passage.encode())
         print(f"{shared / total:.3f} of the bytes in shared chunks")
         assert shared >= 0.85 * total
+
+
+def test_short_passages_go_to_their_ends(spark):
+    rng = random.Random(12)
+    rows, planted = [], {}
+    for p in range(400):
+        passage = " ".join("".join(rng.choice("abcdefghijé") for _ in range(rng.choice((4, 5, 5, 6)))) for _ in range(51))
+        for k in range(2):
+            # each side ends in its own character, so the passage's ends are the repeat's ends
+            planted[2 * p + k] = (text_of(rng, 20) + "XY"[k], passage, "ZW"[k] + text_of(rng, 20), k)
+            rows.append((2 * p + k, "".join(planted[2 * p + k][:3])))
+    out = {r.doc_id: r.text for r in dedupe_passages(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = [a + b + c == out[d] for d, (a, b, c, k) in planted.items() if k == 0]
+    gone = [a + c == out[d] for d, (a, b, c, k) in planted.items() if k == 1]
+    left = [(len(out[d]) - len(a + c)) / len(b) for d, (a, b, c, k) in planted.items() if k == 1]
+    print(f"gone to the ends {sum(gone)} of {len(gone)}, untouched {sum(x >= 1 for x in left)}, share left {np.mean(left):.3f}")
+    assert all(whole) and sum(gone) >= 0.995 * len(gone)
