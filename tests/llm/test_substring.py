@@ -117,3 +117,12 @@ def test_short_passages_go_to_their_ends(spark):
     left = [(len(out[d]) - len(a + c)) / len(b) for d, (a, b, c, k) in planted.items() if k == 1]
     print(f"gone to the ends {sum(gone)} of {len(gone)}, untouched {sum(x >= 1 for x in left)}, share left {np.mean(left):.3f}")
     assert all(whole) and sum(gone) >= 0.995 * len(gone)
+
+
+def test_different_texts_under_one_id_or_none(spark):
+    rng = random.Random(13)
+    passage = text_of(rng, 80)
+    rows = [(d, text_of(rng, 20) + "\n" + passage + "\n" + text_of(rng, 20)) for d in [7] * 5 + [None] * 5]
+    for some in (rows[:5], rows[5:], rows):
+        out = [r.text for r in dedupe_passages(spark, spark.createDataFrame(some, "doc_id long, text string")).collect()]
+        assert sum(passage in t for t in out) == 1
