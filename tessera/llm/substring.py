@@ -1,9 +1,9 @@
 """Removal of passages that repeat, found by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; where a word begins and the hash of the ``WINDOW`` bytes before it is low,
-a chunk ends. Where no word has begun for ``WORDLESS`` bytes (scripts without spaces, encoded data) the hash cuts between
-characters; only what it leaves longer than ``LONGEST`` is cut by length. Cuts depend on nearby bytes alone, so an insertion moves no cut but those beside it, and a passage that
-occurs twice has the same chunks inside both times. Chunks are known by a 64-bit digest. The document with the smallest
+A gear hash rolls over the bytes of a text; where a word begins and the hash of the ``WINDOW`` bytes before it is below
+those at the ``SPAN`` word beginnings on either side, a chunk ends. Where no word has begun for ``WORDLESS`` bytes (scripts without spaces, encoded data) the hash cuts between
+characters; only what it leaves longer than ``LONGEST`` is cut by length. Cuts depend on nearby bytes alone, so an insertion moves
+no cut but those beside it, and a passage that occurs twice has the same chunks inside both times. Chunks are known by a 64-bit digest. The document with the smallest
 doc_id that holds a chunk owns it; elsewhere, and after its first place in a document, the chunk is a repeat. Runs of
 neighbouring repeats are extended byte by byte as far as the text agrees with the owner's, and those of at least
 ``least_bytes`` are taken out; each byte taken out has an equal one in an earlier place. Shorter ones (a common phrase, a licence line)
@@ -25,10 +25,11 @@ from pyspark.sql import types as T
 
 from .common import Scratch, small_batches, spread, text_key, wrapped
 
-#: One word boundary in so many is a cut; a chunk without one is cut at LONGEST bytes; bytes that the gear hash spans.
-ONE_IN, LONGEST, WINDOW = 5, 512, 16
+#: Word beginnings on either side that a cut's hash is below, so that one in about 2 SPAN + 1 is a cut and few chunks are
+#: much longer; a chunk is cut at LONGEST bytes; bytes that the gear hash spans.
+SPAN, LONGEST, WINDOW = 3, 512, 16
 #: Chunks on either side of a run that are told for comparison; bytes beside a chunk whose hash tells a chance repeat.
-BESIDE, TOUCH = 4, 32
+BESIDE, TOUCH = 3, 32
 #: Where no word has begun for WORDLESS bytes, one byte in so many is a cut if its hash is below those of the 8 before.
 WORDLESS, ONE_BYTE_IN = 64, 24
 _RNG = np.random.default_rng(1)
@@ -67,8 +68,13 @@ def chunks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before, here = raw[:-1], raw[1:]
     begins = ((before == 32) | ((before >= 9) & (before <= 13)) | (here >= 0xE3)) & (here != 32)
     h = gear(raw)[:-1]
-    cuts = np.concatenate([[0], np.flatnonzero(begins & (h < np.uint16((1 << 16) // ONE_IN))) + 1, [len(raw)]])
-    words = np.concatenate([[0], np.flatnonzero(begins) + 1, [len(raw)]])
+    word = np.flatnonzero(begins)
+    low, least = h[word], np.ones(len(word), bool)
+    for k in range(1, SPAN + 1):
+        least[k:] &= low[k:] < low[:-k]
+        least[:-k] &= low[:-k] < low[k:]
+    cuts = np.concatenate([[0], word[least] + 1, [len(raw)]])
+    words = np.concatenate([[0], word + 1, [len(raw)]])
     if (np.diff(words) > WORDLESS).any():
         at = np.flatnonzero((h < np.uint16((1 << 16) // ONE_BYTE_IN)) & ((here & 0xC0) != 0x80)) + 1
         at = at[at - words[np.searchsorted(words, at, "right") - 1] > WORDLESS]
@@ -190,10 +196,10 @@ def dedupe_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 120
     """All rows and columns of ``docs`` (but any with one of our names) with the shortened text, and sub_chunks, sub_removed (characters taken out) and
     sub_spans (start and end in the bytes of the old text).
 
-    A null text stays null, with no chunks; an empty one stays empty. Rows without an id come after all others. Among
-    rows that agree in doc_id, or have none, the key of id and text decides; rows that agree in text too are one document
-    and stay alike. A document whose
-    whole text repeats keeps its row with an empty text. An empty table gives an empty result.
+    A null text stays null, with no chunks; an empty one stays empty. A very long text is cut and compared whole, as any
+    other. Rows without an id come after all others. Among rows that agree in doc_id, or have none, the key of id and
+    text decides; rows that agree in text too are one document and stay alike. A document whose whole text repeats keeps
+    its row with an empty text. An empty table gives an empty result.
     """
     small_batches(spark)
     scratch = Scratch(spark, "passages")
