@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles
 from .common import read
 from .edit_sketch import edit_fingerprints
 from .jaccard import near_duplicates
@@ -53,8 +55,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = decide(spark, read(spark, sf_dir, "documents"), target_entropy=0.9)
-    return chosen.select("doc_id", "source", "mix_tokens", "mix_weight", "mix_block", "mix_copies")
+    chosen = decide(spark, read(spark, sf_dir, "documents"), evener=0.5)
+    return chosen.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), "mix_block", "mix_copies")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": oracles.MIXING}

@@ -2,7 +2,9 @@ import math
 
 import pytest
 
+from tessera.llm import queries
 from tessera.llm.mixing import decide, mix
+from tests.compare import connect, difference
 
 SCHEMA = "doc_id long, text string, source string, _src string"
 
@@ -32,7 +34,7 @@ def alpha_by_bisection(met, lo=0.0, hi=1.0):
     return lo
 
 
-def check_realised(rows, sizes, want, budget, block):
+def check_realised(rows, sizes, want, budget):
     total = {s: sum(d) for s, d in sizes.items()}
     for s in sizes:
         own = [r for r in rows if r.source == s]
@@ -50,18 +52,18 @@ def check_realised(rows, sizes, want, budget, block):
 
 def test_entropy_target(spark):
     df = table(spark, SIZES)
-    rows = decide(spark, df, target_entropy=0.9, block_tokens=100).collect()
+    rows = decide(spark, df, target_entropy=0.9, blocks=40).collect()
     entropy = lambda a: -sum(w * math.log(w) for w in weights(SIZES, a).values())
     alpha = alpha_by_bisection(lambda a: entropy(a) >= 0.9 * math.log(len(SIZES)))
-    check_realised(rows, SIZES, weights(SIZES, alpha), sum(map(sum, SIZES.values())), 100)
+    check_realised(rows, SIZES, weights(SIZES, alpha), sum(map(sum, SIZES.values())))
 
 
 def test_repeat_limit(spark):
     budget = 6000
-    rows = decide(spark, table(spark, SIZES), max_repeats=4, budget=budget, block_tokens=100).collect()
+    rows = decide(spark, table(spark, SIZES), max_repeats=4, budget=budget, blocks=40).collect()
     met = lambda a: max(w * budget / sum(SIZES[s]) for s, w in weights(SIZES, a).items()) > 4
     alpha = alpha_by_bisection(met)
-    check_realised(rows, SIZES, weights(SIZES, alpha), budget, 100)
+    check_realised(rows, SIZES, weights(SIZES, alpha), budget)
     assert max(r.mix_copies for r in rows) <= 5
 
 
@@ -77,6 +79,30 @@ def test_copies_are_rows_and_columns_stay(spark):
     assert count == {d: n for d, n in chosen.items() if n}
 
 
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_same_as_sql(spark):
+    assert difference(queries.op9_mixing(spark, FOLDER), connect(FOLDER), queries.oracle_sql()["op9_mixing"]) == ""
+
+
+def test_binds_on_near_equal_sources(spark):
+    """Sources of documents hold almost alike; half of the way to equal weights still moves every one of them."""
+    rows = queries.op9_mixing(spark, FOLDER).collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.source, []).append(r.mix_tokens)
+    total = sum(map(sum, sizes.values()))
+    ln = math.log(len(sizes))
+    entropy = lambda a: -sum(w * math.log(w) for w in weights(sizes, a).values()) / ln
+    alpha = alpha_by_bisection(lambda a: entropy(a) >= (1 + entropy(1.0)) / 2)
+    assert 0.5 < alpha < 0.9
+    check_realised(rows, sizes, weights(sizes, alpha), total)
+    copies = [r.mix_copies for r in rows]
+    assert set(copies) == {0, 1, 2} and copies.count(0) > 10 and copies.count(2) > 10
+    assert all(len({r.mix_block for r in rows if r.source == s}) > 30 for s in sizes)
+
+
 def test_as_they_are_when_even_enough(spark):
     even = {"a": [5] * 30, "b": [5] * 30}
     rows = decide(spark, table(spark, even), target_entropy=0.9).collect()
