@@ -33,3 +33,37 @@ SELECT b.doc_id, b.source, b.n AS mix_tokens, round(r.weight, 6) AS mix_weight,
        CAST(r.epochs + CASE WHEN r.weight > 0 AND (q.remaining >= q.own OR q.remaining > 0 AND b.v <= c.last) THEN 1 ELSE 0 END AS INTEGER) AS mix_copies
 FROM blocked b JOIN rests r USING (src) JOIN permuted q USING (src, block) LEFT JOIN cuts c USING (src, block)
 """
+
+URLS = r"""
+WITH RECURSIVE split AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '\A[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1), '') AS path FROM split),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM named),
+marked AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS told FROM ruled),
+urls AS (
+  SELECT host, path, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, count(*) AS n, count(rule) AS labelled,
+         count(*) FILTER (told = 'block') AS blocked, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM marked GROUP BY host, path),
+topped AS (
+  SELECT *, (own_b + 4.0 * (dom_b + 4.0 * coalesce(all_b / nullif(all_l, 0), 0)) / (dom_l + 4.0)) / (own_l + 4.0) AS purity FROM (
+    SELECT *, sum(blocked) OVER () AS all_b, sum(labelled) OVER () AS all_l, sum(blocked) OVER (PARTITION BY domain) AS dom_b, sum(labelled) OVER (PARTITION BY domain) AS dom_l,
+           sum(blocked) OVER (PARTITION BY host) AS own_b, sum(labelled) OVER (PARTITION BY host) AS own_l FROM urls)),
+walk AS (
+  SELECT 0 AS level, host, path, segs, n, labelled, blocked, '' AS template, CAST(purity AS DOUBLE) AS purity FROM topped
+  UNION ALL
+  SELECT level + 1, host, path, segs, n, labelled, blocked, template || '/' || new,
+         CAST((sum(blocked) OVER (PARTITION BY host, template, new) + 4.0 * purity) / (sum(labelled) OVER (PARTITION BY host, template, new) + 4.0) AS DOUBLE) FROM (
+    SELECT *, CASE WHEN regexp_matches(seg, '\A([0-9]+|[0-9a-fA-F-]{8,})(\.[A-Za-z0-9]+)?\z') OR kids >= 8 AND kids >= 0.2 * n_all
+                     OR kid_l > 0 AND kid_l < l_all AND abs(kid_b / nullif(kid_l, 0) - b_all / nullif(l_all, 0)) <= 1.96 * sqrt(b_all / nullif(l_all, 0) * (1 - b_all / nullif(l_all, 0)) / nullif(kid_l, 0))
+                   THEN '*' ELSE seg END AS new FROM (
+      SELECT *, count(DISTINCT seg) OVER (PARTITION BY host, template) AS kids, sum(n) OVER (PARTITION BY host, template) AS n_all,
+             CAST(sum(labelled) OVER (PARTITION BY host, template) AS DOUBLE) AS l_all, CAST(sum(blocked) OVER (PARTITION BY host, template) AS DOUBLE) AS b_all,
+             CAST(sum(labelled) OVER (PARTITION BY host, template, seg) AS DOUBLE) AS kid_l, CAST(sum(blocked) OVER (PARTITION BY host, template, seg) AS DOUBLE) AS kid_b FROM (
+        SELECT *, segs[level + 1] AS seg FROM walk WHERE len(segs) > level))))
+SELECT m.page_id, m.host, m.path, m.rule, coalesce(m.told, CASE WHEN w.purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict, w.template, round(w.purity, 6) AS purity
+FROM marked m JOIN walk w USING (host, path) WHERE w.level = len(w.segs)
+"""

@@ -60,7 +60,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(spark, read(spark, sf_dir, "pages"))
+    return judge_urls(spark, read(spark, sf_dir, "pages")).withColumn("purity", F.round("purity", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": oracles.MIXING}
+    return {"op9_mixing": oracles.MIXING, "op10_url_filter": oracles.URLS}
