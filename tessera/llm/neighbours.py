@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by cosine: a neighbour graph by NN-descent, searched greedily.
 
 Equal vectors are one node of the graph. The graph starts from random hyperplane trees: nodes on the same side of all
-hyperplanes of a tree share a leaf and take their nearest leaf mates as first neighbours. Then rounds of NN-descent:
+hyperplanes of a tree share a leaf and take their nearest leaf mates as first neighbours; nodes that find too few there
+are linked to the nearest of ``ENTRIES`` fixed nodes, so that none stands alone. Then rounds of NN-descent:
 every node's neighbours, in either direction, are joined to the node; each pair of them, of which one is new, is
 compared, and every node keeps its ``degree`` best. The rounds end when few lists still change. A query starts from its
-own node's list, and repeatedly the best nodes not yet expanded are joined with the graph and their neighbours compared
-with the query, until the best ``beam`` nodes of a query are all expanded. The whole beam is then scored in double
+own node and the fixed ones, and repeatedly the best nodes not yet expanded are joined with the graph and their
+neighbours compared with the query, until the best ``beam`` nodes of a query are all expanded. The whole beam is then scored in double
 precision on the vectors as given.
 
 Graph, vectors and beams are tables throughout. Leaves and neighbourhoods larger than a block are dealt to blocks by a
@@ -14,6 +15,7 @@ hash; a block is what one task holds. Nothing that grows with the rows is broadc
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, runs
 
-LEAF, HUB = 160, 96
+LEAF, HUB, ENTRIES = 160, 96, 64
 EDGE = "u long, v long, s float, fresh boolean"
 
 
@@ -154,12 +156,42 @@ def local_joins(tasks: DataFrame, degree: int) -> DataFrame:
     return tasks.select("_task", "member", "fresh", "worst", "unit").mapInArrow(work, EDGE)
 
 
-def descend(nodes: DataFrame, count: int, scratch: Scratch, degree: int, trees: int, rounds: int, still: float) -> DataFrame:
-    """The neighbour graph (u, v, s): NN-descent until less than ``still`` of all edges are new after a round."""
+def entries_of(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the fixed nodes: those ``ENTRIES`` with the smallest hash."""
+    got = nodes.orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(ENTRIES).collect()
+    return np.array([r["node"] for r in got], np.int64), np.frombuffer(b"".join(r["unit"] for r in got), "<f4").reshape(len(got), -1 if got else 0)
+
+
+def to_entries(rows: DataFrame, entries: tuple[np.ndarray, np.ndarray], degree: int) -> DataFrame:
+    """Edges from each node to the nearest of the fixed ones."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = entries
+        for b in batches:
+            if b.num_rows:
+                u = b.column(0).to_numpy()
+                s = closeness(_array(b.column(1)), x)
+                s[u[:, None] == ids[None, :]] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :degree]
+                s = np.take_along_axis(s, top, 1)
+                fine = np.isfinite(s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(u[:, None], top.shape)[fine]), pa.array(ids[top][fine]), pa.array(s[fine]), pa.array(np.ones(int(fine.sum()), bool))], ["u", "v", "s", "fresh"])
+
+    return rows.select("node", "unit").mapInArrow(work, EDGE)
+
+
+def descend(nodes: DataFrame, count: int, entries: tuple[np.ndarray, np.ndarray], scratch: Scratch, degree: int, trees: int, rounds: int, still: float) -> DataFrame:
+    """The neighbour graph (u, v, s): NN-descent until less than ``still`` of all edges are new after a round, or for so
+    many rounds."""
     spread_out = scratch.save(leaves(nodes, count, trees), "leaves")
     tasks = dealt(spread_out, spread_out.groupBy("leaf").count(), "leaf", "node", 2 * LEAF, 51)
     graph = scratch.save(keep_best(first_graph(tasks, degree), degree), "graph0")
     scratch.drop("leaves")
+    full = graph.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(degree, count - 1))
+    lone = scratch.save(to_entries(nodes.join(full, "node", "left_anti"), entries, degree), "lone")
+    if lone.limit(1).count():
+        graph = scratch.save(keep_best(graph.drop("worst").unionByName(lone), degree), "graph0-linked")
+        scratch.drop("graph0")
     for k in range(1, rounds + 1):
         worst = graph.select(F.col("u").alias("member"), "worst").distinct()
         told = nodes.withColumnRenamed("node", "member").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(-3.0).cast("float")))
@@ -170,7 +202,7 @@ def descend(nodes: DataFrame, count: int, scratch: Scratch, degree: int, trees:
         found = scratch.save(local_joins(tasks, degree), f"found{k}")
         old = graph.select("u", "v", "s", F.lit(False).alias("fresh"))
         graph = scratch.save(keep_best(old.unionByName(found), degree), f"graph{k}")
-        scratch.drop(f"found{k}", f"graph{k - 1}")
+        scratch.drop(f"found{k}", f"graph{k - 1}", *(["graph0-linked"] if k == 1 else []))
         if graph.where("fresh").count() < still * degree * count:
             break
     return graph
@@ -203,15 +235,31 @@ def compare(rows: DataFrame, beam: int) -> DataFrame:
     return rows.repartition("q").sortWithinPartitions("q").mapInArrow(work, BEAM)
 
 
-def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, scratch: Scratch, beam: int, expand: int, hops: int) -> DataFrame:
-    """q, node, s: the best nodes found for each of the starts, which are nodes themselves."""
+def begin(asked: DataFrame, entries: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The first beam of each query (q, unit): its own node and the fixed ones."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = entries
+        for b in batches:
+            if b.num_rows:
+                q = b.column(0).to_numpy()
+                s = np.append(closeness(_array(b.column(1)), x), np.zeros((len(q), 1), np.float32), axis=1)
+                node = np.append(np.broadcast_to(ids, (len(q), len(ids))), q[:, None], axis=1)
+                keep = np.append(q[:, None] != ids[None, :], np.ones((len(q), 1), bool), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q[:, None], node.shape)[keep]), pa.array(node[keep]), pa.array(s[keep]), pa.array(np.zeros(int(keep.sum()), bool))], ["q", "node", "s", "done"])
+
+    return asked.select("q", "unit").mapInArrow(work, BEAM)
+
+
+def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, entries: tuple[np.ndarray, np.ndarray], scratch: Scratch, beam: int, expand: int) -> DataFrame:
+    """q, node, s: the best nodes found for each of the starts, which are nodes themselves. Every hop expands a node of each
+    query that has one left, so the hops end by themselves."""
     links = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     links = scratch.save(links, "links")
     asked = scratch.save(starts.select(F.col("node").alias("q")).join(nodes.withColumnRenamed("node", "q"), "q"), "asked")
     own = asked.select("q", F.lit(None).cast("long").alias("node"), F.lit(float("nan")).cast("float").alias("s"), F.lit(True).alias("done"), "unit")
-    state = asked.select("q", F.col("q").alias("node"), F.lit(0.0).cast("float").alias("s"), F.lit(False).alias("done"))
-    state = scratch.save(state, "beam0")
-    for k in range(1, hops + 1):
+    state = scratch.save(begin(asked, entries), "beam0")
+    for k in itertools.count(1):
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))
         ahead = state.where("not done").withColumn("_rank", rank).where(F.col("_rank") <= expand).select("q", "node")
         ahead = scratch.save(ahead, f"ahead{k}")
@@ -233,31 +281,33 @@ def cosine(a: str, b: str):
 
 def nearest(
     spark: SparkSession, rows: DataFrame, every: int = 50, most: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    degree: int = 28, trees: int = 6, rounds: int = 6, still: float = 0.02, beam: int = 16, hops: int = 20,
+    degree: int = 28, trees: int = 6, rounds: int = 12, still: float = 0.02, beam: int = 16,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: of each row whose id is divisible by ``every`` the ``most`` nearest other rows.
 
-    Score is the cosine in double precision on the vectors as given. Nearest first, ties to the smaller id. Vectors that
-    are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or with another number
-    of components than most rows have. Equal vectors are found through their node: its ``most`` + 1 smallest ids stand
-    for all, since no answer can hold more. A query keeps ``beam`` nodes for each doubling of the number of nodes, and expands
-    a fifth of them a hop. Rows that repeat an id count as one if their vectors agree, and as several
-    with that id if not. An empty table gives an empty result.
+    Score is the cosine in double precision on the vectors as given. Nearest first, ties to the smaller id. Every query has
+    ``most`` rows, or as many as there are candidates; which they are is approximate, as the graph is: ``rounds`` bounds
+    the work on it. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a
+    null id or with another number of components than most rows have; vectors of any length serve. Equal vectors are found
+    through their node: its ``most`` + 1 smallest ids stand for all, since no answer can hold more. A query keeps ``beam``
+    nodes for each doubling of the number of nodes, and expands a fifth of them a hop. Rows that repeat an id count as one
+    if their vectors agree, and as several with that id if not. Other columns are not read, so they may have any name. An
+    empty table gives an empty result.
     """
     scratch = Scratch(spark, "near")
     given = scratch.save(usable(rows, id_col, vector_col).dropDuplicates(["_id", "_vec"]), "given")
     keyed = given.withColumn("_key", F.xxhash64("_vec"))
     first = Window.partitionBy("_key").orderBy("_id")
     members = scratch.save(keyed.select("_key", "_id").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= most + 1), "members")
-    named = members.where("_nth = 1").select("_key", F.col("_id").alias("_least"))
-    vectors = keyed.join(named, "_key").where("_id = _least").select(F.col("_key").alias("node"), "_vec")
+    vectors = keyed.groupBy(F.col("_key").alias("node")).agg(F.first("_vec").alias("_vec"))
     vectors = scratch.save(vectors, "vectors")
     nodes = scratch.save(units(vectors), "units")
     count = nodes.count()
-    graph = descend(nodes, count, scratch, degree, trees, rounds, still)
+    entries = entries_of(nodes)
+    graph = descend(nodes, count, entries, scratch, degree, trees, rounds, still)
     wide = max(2 * degree, round(beam * math.log2(count + 1)))
     queries = scratch.save(keyed.where(F.pmod("_id", F.lit(every)) == 0).select(F.col("_id").alias("query_id"), F.col("_key").alias("q")), "queries")
-    found = search(nodes, graph, queries.select(F.col("q").alias("node")).distinct(), scratch, wide, max(1, wide // 5), hops)
+    found = search(nodes, graph, queries.select(F.col("q").alias("node")).distinct(), entries, scratch, wide, max(1, wide // 5))
     scored = found.select("q", "node").join(vectors.withColumnRenamed("_vec", "_a"), "node").join(vectors.select(F.col("node").alias("q"), F.col("_vec").alias("_b")), "q")
     scored = scratch.save(scored.select("q", "node", cosine("_b", "_a").alias("score")), "scored")
     pairs = queries.join(scored, "q").join(members.select(F.col("_key").alias("node"), F.col("_id").alias("vec_id")), "node").where("vec_id <> query_id")

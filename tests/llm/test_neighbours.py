@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 
+from tessera.llm import queries
 from tessera.llm.neighbours import nearest
+from tests.compare import connect, difference
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
 
@@ -54,6 +56,42 @@ def test_copies_and_odd_vectors(spark):
     assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[100]] == [0, 1, 2, 3, 4]
 
 
+def complete(got, want):
+    return set(got) == set(want) and all(len(got[q]) == len(want[q]) for q in want)
+
+
+def test_outlier_keeps_its_query(spark):
+    """A tight cluster and one vector opposite to it, which is alone in its leaf of every tree."""
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(16)
+    rows = [(0, (-centre).tolist())] + [(k, (centre + 0.01 * rng.standard_normal(16)).tolist()) for k in range(1, 2001)]
+    got, _ = run(spark, rows)
+    want = brute(rows, 50, 5)
+    assert complete(got, want)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
+def test_islands(spark):
+    """Groups of one to four vectors far from each other: neighbours lie on other islands."""
+    rng = np.random.default_rng(10)
+    rows, k = [], 0
+    for g in range(300):
+        centre = rng.standard_normal(48) * 10
+        for _ in range(1 + g % 4):
+            rows.append((k, (centre + 0.001 * rng.standard_normal(48)).tolist()))
+            k += 1
+    got, _ = run(spark, rows, every=10)
+    want = brute(rows, 10, 5)
+    assert complete(got, want)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
+def test_same_as_exact_sql(spark):
+    """On a table of this size the graph search finds all of the exact nearest."""
+    folder = "/root/testdata/sf0.01"
+    assert difference(queries.op5_nearest_neighbours(spark, folder), connect(folder), queries.oracle_sql()["op5_nearest_neighbours"]) == ""
+
+
 def test_small_tables(spark):
     assert run(spark, [(0, [1.0, 0.0])])[0] == {}
     got, _ = run(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])])
