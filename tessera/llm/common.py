@@ -13,8 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; documents may be long, so batches stay small.
-BATCH_ROWS = 500
+#: Bytes of one Arrow batch, unless the session sets its own; documents may be long, so a count of rows bounds nothing.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +26,11 @@ def wrapped(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in but]).alias("_all")
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def byte_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches where the session has no bound; a batch has one row at least."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 #: Input below so many bytes a core is dealt out anew: one small file would otherwise keep all but one core idle.

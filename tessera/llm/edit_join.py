@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, runs, small_batches, spread, text_key
+from .common import Scratch, runs, byte_batches, spread, text_key
 from .edit_sketch import SAMPLES, Embedder, code_points, scale_of
 from .graph import components, stars
 from .jaccard import in_blocks, spread_tasks
@@ -132,7 +132,7 @@ def edit_classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.9, l
     or through others, is missed. A null text is linked to nothing; empty texts are copies. Extra columns are not read;
     an empty table gives an empty result.
     """
-    small_batches(spark)
+    byte_batches(spark)
     scratch = Scratch(spark, "edits")
     told = scratch.save(prints(docs), "told")
     sets = told.where("_set is not null").groupBy("_set").agg(F.first("_print").alias("_print"), F.min("doc_id").alias("_first"), F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_copies"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_key
+from .common import byte_batches, text_key
 
 PERIOD, CLASSES, SAMPLES, SMALLEST = 1 << 16, 64, 256, 16
 
@@ -149,7 +149,7 @@ def edit_fingerprints(spark: SparkSession, docs: DataFrame, segments: int | None
     Rows that repeat a doc_id follow each other by a hash of the text; null ids come last. Extra columns are not read;
     an empty table gives an empty result; a single document is its own next one.
     """
-    small_batches(spark)
+    byte_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = in_segments(spark, docs, segments or 4 * parts)
     order = ["_seg", "_guest", F.desc_nulls_last("doc_id"), text_key("_text")]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, runs, shingles, small_batches, spread, text_key, wrapped
+from .common import Scratch, WordHashes, runs, shingles, byte_batches, spread, text_key, wrapped
 from .graph import components, stars
 
 TOKENS, DEPTH, SMALL, BLOCK = 128, 3, 256, 256
@@ -309,7 +309,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.8
 
 def classes(spark: SparkSession, docs: DataFrame, threshold: float, width: int, recall: float) -> DataFrame:
     """``near_duplicates`` with _row, the key of a row by id and text, and _class, a key of its class (null for null texts)."""
-    small_batches(spark)
+    byte_batches(spark)
     scratch = Scratch(spark, "jaccard")
     told = scratch.save(describe(docs, width), "told")
     sets = told.where(F.col("_set").isNotNull()).groupBy("_set").agg(F.first("_sketch").alias("_sketch"), F.min("doc_id").alias("_first"), F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_copies"))

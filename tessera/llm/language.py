@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, held_out, small_batches, spread, unit_hash
+from .common import Scratch, held_out, byte_batches, spread, unit_hash
 
 SLOT_BITS, HASHES, WORD_BITS = 20, 3, 63
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
@@ -111,7 +111,7 @@ def identify(
     everything if there is nothing to learn from. A text of which no n-gram is known gets the first language by name,
     with score 0. Repeated rows each give a row; extra columns are not read; an empty table gives an empty result.
     """
-    small_batches(spark)
+    byte_batches(spark)
     langs, table, false = fit(spark, (docs if train is None else train).select("doc_id", "lang", "text"), Scratch(spark, "lang"), size, train_rows, keep, least)
     model = spark.sparkContext.broadcast((langs, table, false))  # fixed size: slots x mask words
 

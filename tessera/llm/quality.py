@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, small_batches, spread, unit_hash, wrapped
+from .common import held_out, byte_batches, spread, unit_hash, wrapped
 
 SLOT_BITS = 18
 SIZES = (1, 2, 3, 4)
@@ -190,7 +190,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int) ->
 
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: DataFrame | None, train_rows: int, threshold: float, whole: bool) -> DataFrame:
     """doc_id, held_out, score and predicted; with ``whole`` also _all, the row."""
-    small_batches(spark)
+    byte_batches(spark)
     model = spark.sparkContext.broadcast(learn(spark, (docs if train is None else train).select("doc_id", "text"), labels, train_rows))
     rows = docs.select(F.col("text").cast("string").alias("_text"), "doc_id", held_out().alias("held_out"), *([wrapped(docs)] if whole else []))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_batches, spread, text_key, wrapped
+from .common import Scratch, byte_batches, spread, text_key, wrapped
 
 #: Word beginnings on either side that a cut's hash is below, so that one in about 2 SPAN + 1 is a cut and few chunks are
 #: much longer; a chunk is cut at LONGEST bytes; bytes that the gear hash spans.
@@ -201,7 +201,7 @@ def dedupe_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 120
     text decides; rows that agree in text too are one document and stay alike. A document whose whole text repeats keeps
     its row with an empty text. An empty table gives an empty result.
     """
-    small_batches(spark)
+    byte_batches(spark)
     scratch = Scratch(spark, "passages")
     rows = scratch.save(chunk_rows(docs), "chunks")
     first = F.min(F.struct("_doc", "_row", "_place")).alias("_first")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread
+from .common import byte_batches, spread
 
 SPACE = "▁"
 
@@ -92,7 +92,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, model_file: str | None =
     A null or empty text has 0 tokens. Repeated rows each give a row, a null id stays null, extra columns are not read
     and an empty table gives an empty result.
     """
-    small_batches(spark)
+    byte_batches(spark)
     model_file = model_file or public_tokenizers.path("piece_bpe_32k.model")
     kept = spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")))
 
