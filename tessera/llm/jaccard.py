@@ -9,10 +9,12 @@ large after ``DEPTH`` splits hold truly similar sets and are compared in pairs o
 the threshold is met with the target recall: a pair shares a node ``d`` splits deep as a branching process with mean
 one child survives. At the roots all sets share one draw, so the positions that the roots really draw are counted.
 
-Sketches only nominate: nominated sets are joined to components, and inside each component all pairs are checked exactly
-on the whole sets, in pairs of blocks of bounded size. Links are counted there, and edges to the smallest set of each linked group give the classes.
-Copies are one set throughout; pairs never leave a task. The work that remains is quadratic in the number of different
-sets of one component, spread over blocks.
+Sketches only nominate: nominated sets are joined to components, and inside each component pairs are checked exactly on
+the whole sets, in pairs of blocks of bounded size. A component of more than one block is cut by set size first, by
+factors of the threshold, since sets that are linked lie in one class of sizes or in neighbouring ones. Links are counted
+there, and edges to the smallest set of each linked group give the classes. Copies are one set throughout; pairs never
+leave a task. The work that remains is quadratic in the number of different sets of one component and of like size,
+spread over blocks.
 """
 
 from __future__ import annotations
@@ -216,14 +218,38 @@ def in_blocks(rows: DataFrame, node: str, size: str, keep: list[str]) -> DataFra
     return rows.select(task.alias("_task"), side.alias("_side"), *keep)
 
 
+def in_size_classes(whole: DataFrame, scratch: Scratch, threshold: float, keep: list[str]) -> DataFrame:
+    """``in_blocks`` of components (_label): those that one block holds as they are, others by classes of set size, with
+    tasks for the blocks of each class and for pairs of blocks of neighbouring classes."""
+    whole = whole.join(scratch.save(whole.groupBy("_label").agg(F.count(F.lit(1)).alias("_size")), "label-sizes"), "_label")
+    few = in_blocks(whole.where(F.col("_size") <= BLOCK), "_label", "_size", keep)
+    many = whole.where(F.col("_size") > BLOCK).drop("_size").withColumn("_class", F.floor(F.log(F.greatest(F.octet_length("_grams"), F.lit(1))) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int"))
+    sizes = scratch.save(many.groupBy("_label", "_class").agg(F.count(F.lit(1)).alias("_size")), "class-sizes")
+    for name, step in (("_below", 1), ("_above", -1)):
+        beside = sizes.select("_label", (F.col("_class") + step).alias("_class"), F.ceil(F.col("_size") / BLOCK).cast("int").alias(name))
+        many = many.join(beside, ["_label", "_class"], "left")
+    many = many.join(sizes, ["_label", "_class"])
+    own = F.pmod(F.xxhash64(F.lit(44), "_set"), F.ceil(F.col("_size") / BLOCK).cast("long")).cast("int")
+    node = F.xxhash64("_label", "_class")
+    same = in_blocks(many.withColumn("_node", node), "_node", "_size", keep)
+    out = few.unionByName(same)
+    for name, side in (("_below", 1), ("_above", 0)):
+        across = many.where(F.col(name).isNotNull()).withColumns({"_own": own, "_other": F.explode(F.sequence(F.lit(0), F.col(name) - 1))})
+        lo, hi = ("_other", "_own") if side else ("_own", "_other")
+        task = F.xxhash64("_label", F.col("_class") - side, F.lit("across"), lo, hi)
+        out = out.unionByName(across.select(task.alias("_task"), F.lit(side).alias("_side"), *keep))
+    return out
+
+
 def candidates(sets: DataFrame, scratch: Scratch, threshold: float, recall: float) -> DataFrame:
     """Edges between sets that the runs have met in one node and whose sketches agree enough."""
     state = scratch.save(start(sets, threshold, recall), "state1")
     edges = []
     for depth in range(1, DEPTH + 1):
-        sizes = state.groupBy("_path").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+        # written, so that adaptive execution can split a path that many sets share
+        sizes = scratch.save(state.groupBy("_path").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"), f"sizes{depth}")
         alive = scratch.save(state.join(sizes, "_path"), f"alive{depth}")
-        scratch.drop(f"state{depth}")
+        scratch.drop(f"state{depth}", f"sizes{depth}")
         ends = alive.where(F.col("_size") <= SMALL) if depth < DEPTH else alive
         told = in_blocks(ends, "_path", "_size", ["_set"]).join(sets.select("_set", "_sketch"), "_set")
         edges.append(scratch.save(nominate(told, threshold), f"met{depth}"))
@@ -300,9 +326,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = 0.8
     through others) and links (the number of other documents with a similarity of ``threshold`` or more; copies count).
 
     Words are what white space separates. A text of fewer words than ``width`` has its whole self as its one n-gram;
-    texts without words are copies of each other. A null text is linked to nothing and is its own class. Repeated rows
-    are copies. Null ids never name a class that has others. Extra columns are not read; an empty table gives an empty
-    result. Hashes have 64 bits: sets are told apart by them, as are n-grams.
+    texts without words are copies of each other; a very long one is compared whole. A null text is linked to nothing and
+    is its own class. Repeated rows are copies. Null ids never name a class that has others; of ids the smallest names
+    it. Columns but doc_id and text are not read, so they may have any name; an empty table gives an empty result. Hashes
+    have 64 bits: sets are told apart by them, as are n-grams.
     """
     return classes(spark, docs, threshold, width, recall).select("doc_id", "class_id", "links")
 
@@ -319,8 +346,7 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: float, width: int,
     groups = scratch.save(components(candidates(sets, scratch, threshold, recall), scratch, "met"), "groups")
     wanted = sets.join(groups.select(F.col("node").alias("_set"), F.col("label").alias("_label")), "_set").select("_row", "_set", "_copies", "_label")
     whole = scratch.save(whole_sets(docs, wanted, width), "whole")
-    sizes = whole.groupBy("_label").agg(F.count(F.lit(1)).alias("_size"))
-    found = scratch.save(verify(in_blocks(whole.join(sizes, "_label"), "_label", "_size", ["_set", "_copies", "_grams"]), threshold), "found")
+    found = scratch.save(verify(in_size_classes(whole, scratch, threshold, ["_set", "_copies", "_grams"]), threshold), "found")
     labels = components(found.where("b is not null").select("a", "b"), scratch, "linked").select(F.col("node").alias("_set"), F.col("label").alias("_class"))
     links = found.where("b is null").groupBy(F.col("a").alias("_set")).agg(F.sum("links").alias("_links"))
     named = sets.select("_set", "_first", "_copies").join(labels, "_set", "left").join(links, "_set", "left")

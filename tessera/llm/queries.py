@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_nearest_neighbours": oracles.NEAREST, "op9_mixing": oracles.MIXING, "op10_url_filter": oracles.URLS}
+    return {"op4_ngram_jaccard": oracles.NEAR_DUPLICATES, "op5_nearest_neighbours": oracles.NEAREST, "op9_mixing": oracles.MIXING, "op10_url_filter": oracles.URLS}

@@ -2,9 +2,11 @@ import random
 
 import pytest
 
+from tessera.llm import queries
 from tessera.llm.jaccard import chance, near_duplicates, one_of_each, overlaps, runs_for
 from tessera.llm.graph import components
 from tessera.llm.common import Scratch
+from tests.compare import connect, difference
 
 SCHEMA = "doc_id long, text string, _set string, links int"
 
@@ -62,6 +64,23 @@ def test_hot_group_over_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.links) for r in out) == brute(rows)
 
 
+def test_one_component_of_many_sizes(spark, monkeypatch):
+    """A chain: each text holds the one before and some words more, so sizes span many classes of several blocks each."""
+    import tessera.llm.jaccard as m
+
+    monkeypatch.setattr(m, "BLOCK", 8)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(700)]
+    rows = [(k, " ".join(words[: 60 + 6 * k])) for k in range(100)] + [(200 + k, " ".join(words[: 60 + 6 * k] + ["end"])) for k in range(100)]
+    out = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.links) for r in out) == brute(rows)
+
+
+def test_same_as_exact_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    assert difference(queries.op4_ngram_jaccard(spark, folder), connect(folder), queries.oracle_sql()["op4_ngram_jaccard"]) == ""
+
+
 def test_one_of_each_keeps_the_first(spark):
     rows = [(k, t) for k, t in enumerate(corpus(seed=5, hot=20))] + [(3, None), (None, "one two"), (None, "lone words that nobody else has at all"), (2, "twice the very same row of text"), (2, "twice the very same row of text")]
     df = spark.createDataFrame([(d, t, "x", 5) for d, t in rows], SCHEMA)
