@@ -2,15 +2,17 @@
 
 Equal vectors are one node of the graph. The graph starts from random hyperplane trees: nodes on the same side of all
 hyperplanes of a tree share a leaf and take their nearest leaf mates as first neighbours; nodes that find too few there
-are linked to the nearest of ``ENTRIES`` fixed nodes, so that none stands alone. Then rounds of NN-descent:
-every node's neighbours, in either direction, are joined to the node; each pair of them, of which one is new, is
-compared, and every node keeps its ``degree`` best. The rounds end when few lists still change. A query starts from its
-own node and the fixed ones, and repeatedly the best nodes not yet expanded are joined with the graph and their
-neighbours compared with the query, until the best ``beam`` nodes of a query are all expanded. The whole beam is then scored in double
-precision on the vectors as given.
-
-Graph, vectors and beams are tables throughout. Leaves and neighbourhoods larger than a block are dealt to blocks by a
-hash; a block is what one task holds. Nothing that grows with the rows is broadcast.
+are linked to the nearest of ``ENTRIES`` fixed nodes, so that none stands alone. Then rounds of NN-descent: every node's
+neighbours, and as many of the nodes that count it among theirs, the nearest first, are compared with each other, if one
+of a pair is new, and every node keeps its ``degree`` best. The rounds end when few lists still change. A query starts
+from its own node and the fixed ones, and repeatedly the best nodes not yet expanded are joined with the graph and their
+neighbours compared with the query, until the best ``beam`` nodes of a query are all expanded. The whole beam is then
+scored in double precision on the vectors as given.
+
+Graph, vectors and beams are tables throughout. Nodes are dealt to homes of about ``HOME`` nodes, leaf by leaf of one
+tree and so near each other; a home's neighbourhoods are compared in one task, which gets the lists as ids and each
+vector once, however many lists name it. Leaves larger than a block are dealt to blocks by a hash. Nothing that grows
+with the rows is broadcast.
 """
 
 from __future__ import annotations
@@ -21,13 +23,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, runs
+from .common import Scratch, byte_batches, runs
 
-LEAF, HUB, ENTRIES = 160, 96, 64
-EDGE = "u long, v long, s float, fresh boolean"
+LEAF, HOME, ENTRIES = 160, 1024, 64
+#: Neighbourhoods compared at once, and queries of one task.
+GROUPS, QUERIES = 64, 64
+EDGE = "u long, uh int, v long, vh int, s float, fresh boolean"
+#: Edges, and for each node a row without v that has its vector and the last similarity of a full list.
+GRAPH = f"{EDGE}, worst float, unit binary"
+OPEN = np.float32(-3)  # below any similarity
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -67,8 +74,9 @@ def units(nodes: DataFrame) -> DataFrame:
 
 
 def leaves(nodes: DataFrame, count: int, trees: int, seed: int = 5) -> DataFrame:
-    """leaf, node, unit: each node once a tree."""
+    """leaf, node, unit and what else nodes have: each node once a tree."""
     depth = max(0, math.ceil(math.log2(max(1, count) / LEAF * 1.25)))
+    rest = [f for f in nodes.schema.fields if f.name not in ("node", "unit")]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -81,202 +89,328 @@ def leaves(nodes: DataFrame, count: int, trees: int, seed: int = 5) -> DataFrame
             for t in range(trees):
                 side = (x @ planes[t].T > 0).astype(np.int64)
                 leaf = side @ (np.int64(1) << np.arange(depth, dtype=np.int64)) * trees + t
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), b.column(0), b.column(1)], ["leaf", "node", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), *b.columns], ["leaf", *b.schema.names])
 
-    return nodes.mapInArrow(work, "leaf long, node long, unit binary")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rest)
+    return nodes.select("node", "unit", *[f.name for f in rest]).mapInArrow(work, f"leaf long, node long, unit binary{more}")
 
 
-def dealt(rows: DataFrame, sizes: DataFrame, key: str, member: str, most: int, seed: int) -> DataFrame:
-    """The rows with _task: groups larger than ``most`` are dealt to blocks of about that size by a hash of the
-    member and the group, so that no two groups are dealt alike."""
-    parts = F.ceil(F.col("_size") / most)
-    rows = rows.join(sizes.withColumnRenamed("count", "_size"), key)
-    return rows.withColumn("_task", F.xxhash64(key, F.pmod(F.xxhash64(F.lit(seed), key, member), parts))).drop("_size").repartition("_task").sortWithinPartitions("_task")
+def blocks(rows: DataFrame, scratch: Scratch, tag: str, seed: int) -> DataFrame:
+    """The rows with _block: leaves larger than 2 LEAF nodes are dealt to blocks of about that size by a hash of the node."""
+    sizes = scratch.save(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("_size")), tag)
+    part = F.pmod(F.xxhash64(F.lit(seed), "leaf", "node"), F.ceil(F.col("_size") / (2 * LEAF)))
+    return rows.join(sizes, "leaf").withColumn("_block", F.xxhash64("leaf", part)).drop("_size")
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, most: int) -> pa.RecordBatch:
-    """Of each row of a similarity matrix the best columns (excluded ones are -inf)."""
-    most = min(most, sims.shape[1])
-    at = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-    s = np.take_along_axis(sims, at, 1)
+def at_home(nodes: DataFrame, count: int, scratch: Scratch) -> DataFrame:
+    """node, unit, home: nodes of one block share a home."""
+    one = blocks(scratch.save(leaves(nodes, count, 1), "homes"), scratch, "home-sizes", 50)
+    homes = math.ceil(max(1, count) / HOME)
+    return scratch.save(one.select("node", "unit", F.pmod(F.xxhash64("_block"), F.lit(homes)).cast("int").alias("home")), "units-home")
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by the key, cut so that no group is in two of them."""
+    held = None
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            k = t[key].to_numpy()
+            last = int(np.searchsorted(k, k[-1]))
+            if last:
+                yield t.slice(0, last)
+            held = t.slice(last)
+    if held is not None:
+        yield held
+
+
+def edges(u: np.ndarray, uh: np.ndarray, v: np.ndarray, vh: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    cols = [u, uh.astype(np.int32), v, vh.astype(np.int32), s.astype(np.float32), np.ones(len(u), bool)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["u", "uh", "v", "vh", "s", "fresh"])
+
+
+def best_of(sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of similarities (the last axis) the best: places of rows, of columns, and the similarities. Excluded ones
+    are -inf."""
+    flat = sims.reshape(-1, sims.shape[-1])
+    most = min(most, flat.shape[1])
+    at = np.argpartition(-flat, most - 1, axis=1)[:, :most]
+    s = np.take_along_axis(flat, at, 1)
     fine = np.isfinite(s)
-    u = np.repeat(ids, most).reshape(len(ids), most)
-    return pa.RecordBatch.from_arrays([pa.array(u[fine]), pa.array(ids[at][fine]), pa.array(s[fine].astype(np.float32)), pa.array(np.ones(int(fine.sum()), bool))], ["u", "v", "s", "fresh"])
+    return np.broadcast_to(np.arange(len(flat))[:, None], at.shape)[fine], at[fine], s[fine]
 
 
 def first_graph(tasks: DataFrame, degree: int) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in runs(batches, "_task"):
-            x, ids = _array(group["unit"]), group["node"].to_numpy()
+        for _, group in runs(batches, "_block"):
+            x, ids, home = _array(group["unit"]), group["node"].to_numpy(), group["home"].to_numpy()
             if len(ids) > 1:
                 sims = closeness(x, x)
                 np.fill_diagonal(sims, -np.inf)
-                yield _best(sims, ids, degree)
+                a, b, s = best_of(sims, degree)
+                yield edges(ids[a], home[a], ids[b], home[b], s)
 
-    return tasks.select("_task", "node", "unit").mapInArrow(work, EDGE)
+    return tasks.select("_block", "node", "home", "unit").repartition("_block").sortWithinPartitions("_block").mapInArrow(work, EDGE)
 
 
-def keep_best(edges: DataFrame, degree: int) -> DataFrame:
-    """Each u's best edges; an edge that was there before isn't fresh any more. worst: its last similarity when full."""
+def keep_best(rows: DataFrame, degree: int) -> DataFrame:
+    """Of edges and node rows, each u's best edges, an edge that was there before being fresh no more, and its node row."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u, group in runs(batches, "u"):
-            v, s, fresh = (group[c].to_numpy() for c in ("v", "s", "fresh"))
-            by = np.lexsort((fresh, v))  # the old one of equal edges first
-            v, s, fresh = v[by], s[by], fresh[by]
-            once = np.append(True, v[1:] != v[:-1])
-            v, s, fresh = v[once], s[once], fresh[once]
-            top = np.argsort(-s, kind="stable")[:degree]
-            worst = s[top[-1]] if len(top) == degree else np.float32(-3)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), u, np.int64)), pa.array(v[top]), pa.array(s[top]), pa.array(fresh[top]), pa.array(np.full(len(top), worst, np.float32))], ["u", "v", "s", "fresh", "worst"])
-
-    return edges.repartition("u").sortWithinPartitions("u").mapInArrow(work, f"{EDGE}, worst float")
-
-
-def local_joins(tasks: DataFrame, degree: int) -> DataFrame:
-    """Of rows (_task, member, fresh, worst, unit): pairs of a task's members, one of them fresh, that would enter a list."""
+        for t in whole_groups(batches, "u"):
+            node = t["v"].is_null().to_numpy()
+            own, t = t.filter(pa.array(node)), t.filter(pa.array(~node))
+            u, uh, v, vh, s, fresh = (t[c].to_numpy() for c in ("u", "uh", "v", "vh", "s", "fresh"))
+            by = np.lexsort((fresh, v, u))  # the old one of equal edges first
+            by = by[np.append(True, (u[by][1:] != u[by][:-1]) | (v[by][1:] != v[by][:-1]))] if len(by) else by
+            by = by[np.lexsort((v[by], -s[by], u[by]))]
+            ids, first, many = np.unique(u[by], return_index=True, return_counts=True)
+            by_rank = np.arange(len(by)) - np.repeat(first, many)
+            full = many >= degree
+            worst = np.full(len(ids), OPEN, np.float32)
+            worst[full] = s[by][first[full] + degree - 1]
+            by = by[by_rank < degree]
+            empty = pa.nulls(len(by), pa.float32()), pa.nulls(len(by), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c[by]) for c in (u, uh, v, vh, s, fresh)] + [*empty], [f.split()[0] for f in GRAPH.split(", ")])
+            mine = own["u"].to_numpy()
+            at = np.minimum(np.searchsorted(ids, mine), max(0, len(ids) - 1))
+            known = ids[at] == mine if len(ids) else np.zeros(len(mine), bool)
+            last = np.full(len(mine), OPEN, np.float32)
+            last[known] = worst[at[known]]
+            cols = [own["u"], own["uh"], own["v"], own["vh"], own["s"], own["fresh"], pa.array(last), own["unit"]]
+            for b in pa.table(cols, [f.split()[0] for f in GRAPH.split(", ")]).combine_chunks().to_batches():
+                yield b
+
+    return rows.repartition("u").sortWithinPartitions("u").mapInArrow(work, GRAPH)
+
+
+def as_edges(rows: DataFrame) -> DataFrame:
+    return rows.select("u", "uh", "v", "vh", "s", "fresh", F.lit(None).cast("float").alias("worst"), F.lit(None).cast("binary").alias("unit"))
+
+
+def as_nodes(nodes: DataFrame) -> DataFrame:
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return nodes.select(F.col("node").alias("u"), F.col("home").alias("uh"), none("long", "v"), none("int", "vh"), none("float", "s"), none("boolean", "fresh"), none("float", "worst"), "unit")
+
+
+def reverse(graph: DataFrame, degree: int) -> DataFrame:
+    """Edges the other way round, the nearest ``degree`` of each node; a rank limit that is applied before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("s"), "u"))
+    near = graph.where("v is not null").select("u", "uh", "v", "vh", "s", "fresh").withColumn("_rank", rank).where(F.col("_rank") <= degree)
+    return near.select(F.col("v").alias("u"), F.col("vh").alias("uh"), F.col("u").alias("v"), F.col("uh").alias("vh"), "fresh")
+
+
+def local_joins(graph: DataFrame, degree: int) -> DataFrame:
+    """Pairs of a node's neighbours, one of them fresh, that would enter a list; each home keeps its best of each node."""
+    lists = graph.where("v is not null").select("u", "uh", "v", "vh", "fresh").unionByName(reverse(graph, degree))
+    told = graph.where("v is null").select(F.col("u").alias("member"), F.col("uh").alias("own"), "worst", "unit")
+    wanted = lists.select(F.col("v").alias("member"), F.col("uh").alias("home")).repartition("member").distinct()
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    vectors = wanted.join(told, "member").select("home", none("long", "centre"), "member", none("boolean", "fresh"), "own", "worst", "unit")
+    ids = lists.select(F.col("uh").alias("home"), F.col("u").alias("centre"), F.col("v").alias("member"), "fresh", none("int", "own"), none("float", "worst"), none("binary", "unit"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in runs(batches, "_task"):
-            ids, first = np.unique(group["member"].to_numpy(), return_index=True)
-            if len(ids) < 2:
-                continue
-            fresh_of = group["fresh"].to_numpy()
-            fresh = np.isin(ids, group["member"].to_numpy()[fresh_of])
-            if not fresh.any():
+        for _, group in runs(batches, "home"):
+            vector = group["centre"].is_null().to_numpy()
+            own, group = group.filter(pa.array(vector)), group.filter(pa.array(~vector))
+            node = own["member"].to_numpy()
+            by = np.argsort(node)
+            node, home, worst, x = node[by], own["own"].to_numpy()[by], own["worst"].to_numpy()[by], _array(own["unit"])[by]
+            centre, member, fresh = (group[c].to_numpy() for c in ("centre", "member", "fresh"))
+            by = np.lexsort((~fresh, member, centre))
+            by = by[np.append(True, (centre[by][1:] != centre[by][:-1]) | (member[by][1:] != member[by][:-1]))]
+            centre, member, fresh = centre[by], np.searchsorted(node, member[by]), fresh[by]
+            _, first, many = np.unique(centre, return_index=True, return_counts=True)
+            some = np.add.reduceat(fresh, first) > 0
+            first, many = first[some], many[some]
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for k in range(0, len(first), GROUPS):
+                f, m = first[k : k + GROUPS], many[k : k + GROUPS]
+                inside = np.arange(m.max())[None, :] < m[:, None]
+                at = np.where(inside, f[:, None] + np.arange(m.max())[None, :], 0)
+                idx, new = member[at], fresh[at]
+                y = x[idx].astype(np.float64)
+                half = (y * y).sum(axis=2) / 2
+                sims = (y @ y.transpose(0, 2, 1) - half[:, :, None] - half[:, None, :]).astype(np.float32)
+                bar = worst[idx]
+                out = (sims <= bar[:, :, None]) | ~(new[:, :, None] | new[:, None, :]) | ~inside[:, :, None] | ~inside[:, None, :]
+                out |= np.eye(m.max(), dtype=bool)[None]
+                sims[out] = -np.inf
+                a, b, s = best_of(sims, degree)
+                g = a // m.max()
+                found.append((idx.reshape(-1)[a], idx[g, b], s))
+            if not found:
                 continue
-            x, worst = _array(group["unit"])[first], group["worst"].to_numpy()[first]
-            sims = closeness(x, x)
-            sims[(sims <= worst[:, None]) | ~(fresh[:, None] | fresh[None, :])] = -np.inf
-            np.fill_diagonal(sims, -np.inf)
-            out = _best(sims, ids, degree)
-            if out.num_rows:
-                yield out
+            a, b, s = (np.concatenate(c) for c in zip(*found))
+            _, once = np.unique(a * len(node) + b, return_index=True)
+            a, b, s = a[once], b[once], s[once]
+            by = np.lexsort((-s, a))
+            _, first, many = np.unique(a[by], return_index=True, return_counts=True)
+            by = by[np.arange(len(by)) - np.repeat(first, many) < degree]
+            a, b, s = a[by], b[by], s[by]
+            yield edges(node[a], home[a], node[b], home[b], s)
 
-    return tasks.select("_task", "member", "fresh", "worst", "unit").mapInArrow(work, EDGE)
+    rows = vectors.unionByName(ids).repartition("home").sortWithinPartitions("home")
+    return rows.mapInArrow(work, EDGE)
 
 
-def entries_of(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of the fixed nodes: those ``ENTRIES`` with the smallest hash."""
+def entries_of(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, homes and vectors of the fixed nodes: those ``ENTRIES`` with the smallest hash."""
     got = nodes.orderBy(F.xxhash64(F.lit(5), "node"), "node").limit(ENTRIES).collect()
-    return np.array([r["node"] for r in got], np.int64), np.frombuffer(b"".join(r["unit"] for r in got), "<f4").reshape(len(got), -1 if got else 0)
+    x = np.frombuffer(b"".join(r["unit"] for r in got), "<f4").reshape(len(got), -1 if got else 0)
+    return np.array([r["node"] for r in got], np.int64), np.array([r["home"] for r in got], np.int32), x
 
 
-def to_entries(rows: DataFrame, entries: tuple[np.ndarray, np.ndarray], degree: int) -> DataFrame:
-    """Edges from each node to the nearest of the fixed ones."""
+def to_entries(rows: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndarray], degree: int) -> DataFrame:
+    """Edges from each node (u, uh, unit) to the nearest of the fixed ones."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = entries
+        ids, homes, x = entries
         for b in batches:
             if b.num_rows:
-                u = b.column(0).to_numpy()
-                s = closeness(_array(b.column(1)), x)
+                u, uh = b.column(0).to_numpy(), b.column(1).to_numpy()
+                s = closeness(_array(b.column(2)), x)
                 s[u[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :degree]
-                s = np.take_along_axis(s, top, 1)
-                fine = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(u[:, None], top.shape)[fine]), pa.array(ids[top][fine]), pa.array(s[fine]), pa.array(np.ones(int(fine.sum()), bool))], ["u", "v", "s", "fresh"])
+                at, to, s = best_of(s, degree)
+                yield edges(u[at], uh[at], ids[to], homes[to], s)
 
-    return rows.select("node", "unit").mapInArrow(work, EDGE)
+    return rows.select("u", "uh", "unit").mapInArrow(work, EDGE)
 
 
-def descend(nodes: DataFrame, count: int, entries: tuple[np.ndarray, np.ndarray], scratch: Scratch, degree: int, trees: int, rounds: int, still: float) -> DataFrame:
-    """The neighbour graph (u, v, s): NN-descent until less than ``still`` of all edges are new after a round, or for so
-    many rounds."""
+def descend(nodes: DataFrame, count: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray], scratch: Scratch, degree: int, trees: int, rounds: int, still: float) -> DataFrame:
+    """The neighbour graph: NN-descent until less than ``still`` of all edges are new after a round, or for so many rounds."""
     spread_out = scratch.save(leaves(nodes, count, trees), "leaves")
-    tasks = dealt(spread_out, spread_out.groupBy("leaf").count(), "leaf", "node", 2 * LEAF, 51)
-    graph = scratch.save(keep_best(first_graph(tasks, degree), degree), "graph0")
+    first = first_graph(blocks(spread_out, scratch, "leaf-sizes", 51), degree)
+    graph = scratch.save(keep_best(as_edges(first).unionByName(as_nodes(nodes)), degree), "graph0")
     scratch.drop("leaves")
-    full = graph.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(degree, count - 1))
-    lone = scratch.save(to_entries(nodes.join(full, "node", "left_anti"), entries, degree), "lone")
-    if lone.limit(1).count():
-        graph = scratch.save(keep_best(graph.drop("worst").unionByName(lone), degree), "graph0-linked")
+    lone = graph.where((F.col("v").isNull()) & (F.col("worst") == float(OPEN)))
+    if count > 1 and lone.limit(1).count():
+        graph = scratch.save(keep_best(graph.unionByName(as_edges(to_entries(lone, entries, degree))), degree), "graph0-linked")
         scratch.drop("graph0")
     for k in range(1, rounds + 1):
-        worst = graph.select(F.col("u").alias("member"), "worst").distinct()
-        told = nodes.withColumnRenamed("node", "member").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(-3.0).cast("float")))
-        both = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh").unionByName(graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh"))
-        both = both.groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
-        alive = both.groupBy("centre").agg(F.count(F.lit(1)).alias("count"), F.max("fresh").alias("_any")).where("_any").drop("_any")
-        tasks = dealt(both.join(told, "member"), alive, "centre", "member", HUB, 50 + k)
-        found = scratch.save(local_joins(tasks, degree), f"found{k}")
-        old = graph.select("u", "v", "s", F.lit(False).alias("fresh"))
-        graph = scratch.save(keep_best(old.unionByName(found), degree), f"graph{k}")
+        found = scratch.save(local_joins(graph, degree), f"found{k}")
+        old = graph.withColumn("fresh", F.when(F.col("v").isNotNull(), F.lit(False)))
+        graph = scratch.save(keep_best(old.unionByName(as_edges(found)), degree), f"graph{k}")
         scratch.drop(f"found{k}", f"graph{k - 1}", *(["graph0-linked"] if k == 1 else []))
         if graph.where("fresh").count() < still * degree * count:
             break
     return graph
 
 
-BEAM = "q long, node long, s float, done boolean"
+BEAM = "task int, q long, unit binary, nodes binary, sims binary, done binary, going boolean"
 
 
-def compare(rows: DataFrame, beam: int) -> DataFrame:
-    """Of rows (q, node, s, done, unit), among them the query's own (node null), the best ``beam`` nodes of each query.
+def beams(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (task, q, unit, nodes, sims, done) of arrays."""
+    packed = [(t, q, unit, n.astype("<i8").tobytes(), s.astype("<f4").tobytes(), d.tobytes(), not d.all()) for t, q, unit, n, s, d in rows]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*packed)) or [()] * 7, kinds)], [f.split()[0] for f in BEAM.split(", ")])
 
-    Nodes of the old beam come with their similarity; the others are compared."""
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, group in runs(batches, "q"):
-            mine = group.filter(group["node"].is_null())
-            rest = group.filter(group["node"].is_valid())
-            if not mine.num_rows or not rest.num_rows:
-                continue
-            node, s, done = rest["node"].to_numpy(), rest["s"].to_numpy().astype(np.float32), rest["done"].to_numpy()
-            new = np.isnan(s)
-            if new.any():
-                s = s.copy()
-                s[new] = closeness(_array(rest["unit"].filter(pa.array(new))), _array(mine["unit"]))[:, 0]
-            by = np.lexsort((~done, node))
-            once = by[np.append(True, node[by][1:] != node[by][:-1])]
-            top = once[np.argsort(-s[once], kind="stable")[:beam]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q, np.int64)), pa.array(node[top]), pa.array(s[top]), pa.array(done[top])], ["q", "node", "s", "done"])
+def beam_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row["nodes"], "<i8"), np.frombuffer(row["sims"], "<f4"), np.frombuffer(row["done"], bool)
 
-    return rows.repartition("q").sortWithinPartitions("q").mapInArrow(work, BEAM)
 
+def ahead(sims: np.ndarray, done: np.ndarray, expand: int) -> np.ndarray:
+    """Places of the best nodes of a beam that are to be expanded; the beam is in order."""
+    return np.flatnonzero(~done)[:expand]
 
-def begin(asked: DataFrame, entries: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The first beam of each query (q, unit): its own node and the fixed ones."""
+
+def begin(asked: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndarray], beam: int) -> DataFrame:
+    """The first beam of each query (task, q, unit): its own node and the fixed ones."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = entries
+        ids, _, x = entries
         for b in batches:
             if b.num_rows:
-                q = b.column(0).to_numpy()
-                s = np.append(closeness(_array(b.column(1)), x), np.zeros((len(q), 1), np.float32), axis=1)
-                node = np.append(np.broadcast_to(ids, (len(q), len(ids))), q[:, None], axis=1)
-                keep = np.append(q[:, None] != ids[None, :], np.ones((len(q), 1), bool), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q[:, None], node.shape)[keep]), pa.array(node[keep]), pa.array(s[keep]), pa.array(np.zeros(int(keep.sum()), bool))], ["q", "node", "s", "done"])
+                sims, rows = closeness(_array(b.column(2)), x), []
+                for k, (t, q, unit) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                    other = ids != q
+                    node, s = np.append(q, ids[other]), np.append(np.float32(0), sims[k][other])
+                    by = np.argsort(-s, kind="stable")[:beam]
+                    rows.append((t, q, unit, node[by], s[by], np.zeros(len(by), bool)))
+                yield beams(rows)
 
-    return asked.select("q", "unit").mapInArrow(work, BEAM)
+    return asked.select("task", "q", "unit").mapInArrow(work, BEAM)
 
 
-def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, entries: tuple[np.ndarray, np.ndarray], scratch: Scratch, beam: int, expand: int) -> DataFrame:
-    """q, node, s: the best nodes found for each of the starts, which are nodes themselves. Every hop expands a node of each
+def search(graph: DataFrame, starts: DataFrame, many: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray], scratch: Scratch, degree: int, beam: int, expand: int) -> DataFrame:
+    """q, node: the best nodes found for each of the starts (q), ``many`` nodes of the graph. Every hop expands a node of each
     query that has one left, so the hops end by themselves."""
-    links = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    links = scratch.save(links, "links")
-    asked = scratch.save(starts.select(F.col("node").alias("q")).join(nodes.withColumnRenamed("node", "q"), "q"), "asked")
-    own = asked.select("q", F.lit(None).cast("long").alias("node"), F.lit(float("nan")).cast("float").alias("s"), F.lit(True).alias("done"), "unit")
-    state = scratch.save(begin(asked, entries), "beam0")
+    nodes = graph.where("v is null").select(F.col("u").alias("node"), F.col("uh").alias("home"), "unit")
+    both = graph.where("v is not null").select("u", "v").unionByName(reverse(graph, degree).select("u", "v"))
+    links = scratch.save(both.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("nbrs")), "links")  # at most two lists a node
+    tasks = math.ceil(max(1, many) / QUERIES)
+    asked = starts.join(nodes.withColumnRenamed("node", "q"), "q").select(F.pmod(F.xxhash64("home"), F.lit(tasks)).cast("int").alias("task"), "q", "unit")
+    state = scratch.save(begin(asked, entries, beam), "beam0")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    packed = ["unit", "nodes", "sims", "done"]
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for row in b.to_pylist():
+                node, s, done = beam_of(row)
+                out += [(row["task"], row["q"], n) for n in node[ahead(s, done, expand)].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int32(), pa.int64(), pa.int64()))], ["task", "q", "node"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, group in runs(batches, "task"):
+            kind = group["kind"].to_numpy()
+            vector, lists, own = (group.filter(pa.array(kind == k)) for k in (0, 1, 2))
+            node = vector["id"].to_numpy()
+            by = np.argsort(node)
+            node = node[by]
+            x = _array(vector["unit"])[by] if len(node) else None
+            reached: dict[int, list[np.ndarray]] = {}
+            for q, nbrs in zip(lists["id"].to_pylist(), lists["nbrs"]):
+                reached.setdefault(q, []).append(nbrs.values.to_numpy())
+            rows = []
+            for row in own.select(["id", *packed]).to_pylist():
+                q = row["id"]
+                n, s, done = beam_of(row)
+                done = done.copy()
+                done[ahead(s, done, expand)] = True
+                new = np.setdiff1d(np.concatenate(reached.get(q, [np.zeros(0, np.int64)])), n)
+                if len(new):
+                    t = closeness(x[np.searchsorted(node, new)], np.frombuffer(row["unit"], "<f4")[None, :])[:, 0]
+                    n, s, done = np.append(n, new), np.append(s, t), np.append(done, np.zeros(len(new), bool))
+                    by = np.lexsort((n, -s))[:beam]
+                    n, s, done = n[by], s[by], done[by]
+                rows.append((task, q, row["unit"], n, s, done))
+            if rows:
+                yield beams(rows)
+
+    finished = []
     for k in itertools.count(1):
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "node"))
-        ahead = state.where("not done").withColumn("_rank", rank).where(F.col("_rank") <= expand).select("q", "node")
-        ahead = scratch.save(ahead, f"ahead{k}")
-        if not ahead.limit(1).count():
+        finished.append(state.where("not going"))
+        state = state.where("going")
+        if not state.limit(1).count():
             break
-        old = state.join(ahead.withColumn("_now", F.lit(True)), ["q", "node"], "left").select("q", "node", "s", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done"), F.lit(None).cast("binary").alias("unit"))
-        reached = ahead.join(links.withColumnRenamed("u", "node"), "node").select("q", F.col("v").alias("node")).distinct()
-        reached = reached.join(state.select("q", "node"), ["q", "node"], "left_anti").join(nodes, "node")
-        reached = reached.select("q", "node", F.lit(float("nan")).cast("float").alias("s"), F.lit(False).alias("done"), "unit")
-        state = scratch.save(compare(old.unionByName(reached).unionByName(own), beam), f"beam{k}")
-        scratch.drop(f"beam{k - 1}", f"ahead{k}")
-    return state
+        steps = state.select("task", "q", *packed).mapInArrow(pick, "task int, q long, node long")
+        steps = scratch.save(steps.join(links, "node").select("task", "q", "nbrs"), f"steps{k}")
+        wanted = steps.select("task", F.explode("nbrs").alias("node")).repartition("node").distinct()
+        vectors = wanted.join(nodes.drop("home"), "node").select("task", F.lit(0).alias("kind"), F.col("node").alias("id"), none("array<long>", "nbrs"), "unit", *[none("binary", c) for c in packed[1:]])
+        lists = steps.select("task", F.lit(1).alias("kind"), F.col("q").alias("id"), "nbrs", *[none("binary", c) for c in packed])
+        own = state.select("task", F.lit(2).alias("kind"), F.col("q").alias("id"), none("array<long>", "nbrs"), *packed)
+        rows = vectors.unionByName(lists).unionByName(own).repartition("task").sortWithinPartitions("task")
+        state = scratch.save(rows.mapInArrow(compare, BEAM), f"beam{k}")
+        scratch.drop(f"steps{k}")
+
+    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                n = np.frombuffer(row["nodes"], "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["q"])), pa.array(n)], ["q", "node"])
+
+    out = finished[0]
+    for more in finished[1:]:
+        out = out.unionByName(more)
+    return out.select("q", "nodes").mapInArrow(spell, "q long, node long")
 
 
-def cosine(a: str, b: str):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
 
 
 def nearest(
@@ -294,22 +428,25 @@ def nearest(
     if their vectors agree, and as several with that id if not. Other columns are not read, so they may have any name. An
     empty table gives an empty result.
     """
+    byte_batches(spark)
     scratch = Scratch(spark, "near")
-    given = scratch.save(usable(rows, id_col, vector_col).dropDuplicates(["_id", "_vec"]), "given")
-    keyed = given.withColumn("_key", F.xxhash64("_vec"))
+    given = scratch.save(usable(rows, id_col, vector_col).dropDuplicates(["_id", "_vec"]).withColumn("_key", F.xxhash64("_vec")), "given")
     first = Window.partitionBy("_key").orderBy("_id")
-    members = scratch.save(keyed.select("_key", "_id").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= most + 1), "members")
-    vectors = keyed.groupBy(F.col("_key").alias("node")).agg(F.first("_vec").alias("_vec"))
-    vectors = scratch.save(vectors, "vectors")
-    nodes = scratch.save(units(vectors), "units")
-    count = nodes.count()
+    members = scratch.save(given.select("_key", "_id").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= most + 1), "members")
+    vectors = given.groupBy(F.col("_key").alias("node")).agg(F.first("_vec").alias("_vec"))
+    vectors = scratch.save(vectors.withColumn("_norm", F.sqrt(dot("_vec", "_vec"))), "vectors")
+    units_of = scratch.save(units(vectors), "units")
+    count = units_of.count()
+    nodes = at_home(units_of, count, scratch)
     entries = entries_of(nodes)
     graph = descend(nodes, count, entries, scratch, degree, trees, rounds, still)
     wide = max(2 * degree, round(beam * math.log2(count + 1)))
-    queries = scratch.save(keyed.where(F.pmod("_id", F.lit(every)) == 0).select(F.col("_id").alias("query_id"), F.col("_key").alias("q")), "queries")
-    found = search(nodes, graph, queries.select(F.col("q").alias("node")).distinct(), entries, scratch, wide, max(1, wide // 5))
-    scored = found.select("q", "node").join(vectors.withColumnRenamed("_vec", "_a"), "node").join(vectors.select(F.col("node").alias("q"), F.col("_vec").alias("_b")), "q")
-    scored = scratch.save(scored.select("q", "node", cosine("_b", "_a").alias("score")), "scored")
+    queries = scratch.save(given.where(F.pmod("_id", F.lit(every)) == 0).select(F.col("_id").alias("query_id"), F.col("_key").alias("q")), "queries")
+    starts = scratch.save(queries.select("q").distinct(), "starts")
+    found = search(graph, starts, starts.count(), entries, scratch, degree, wide, max(1, wide // 5))
+    asked = starts.join(vectors.select(F.col("node").alias("q"), F.col("_vec").alias("_b"), F.col("_norm").alias("_bn")), "q")
+    scored = found.join(vectors, "node").join(asked, "q")
+    scored = scratch.save(scored.select("q", "node", (dot("_b", "_vec") / (F.col("_bn") * F.col("_norm"))).alias("score")), "scored")
     pairs = queries.join(scored, "q").join(members.select(F.col("_key").alias("node"), F.col("_id").alias("vec_id")), "node").where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score")
