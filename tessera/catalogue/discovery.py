@@ -132,9 +132,10 @@ def _(s, d):
     return sp.nearest(_places(s, d), (-70.5, -100.25), 12, "k").select("k", F.round("distance_km", 4).alias("km"))
 
 
-@query("spatial_token", f"SELECT * FROM {PLACES} WHERE lat BETWEEN -89 AND -50 AND lng BETWEEN -170 AND -20")
+@query("spatial_token", f"SELECT *, 'box' AS form FROM {PLACES} WHERE lat BETWEEN -89 AND -50 AND lng BETWEEN -170 AND -20 UNION ALL SELECT *, 'radius' FROM {PLACES} WHERE {KM.format(-70.0, -120.0)} <= 1500")
 def _(s, d):
-    return sp.by_token(_places(s, d), "-89,-170,-50,-20")
+    box = sp.by_token(_places(s, d), "-89,-170,-50,-20").withColumn("form", F.lit("box"))
+    return box.unionByName(sp.by_token(_places(s, d), "-70,-120,1500").withColumn("form", F.lit("radius")))
 
 
 @query("pipeline_steps", "SELECT p_partkey FROM part WHERE (contains(lower(p_name), 'ring') OR contains(lower(p_name), 'gear')) AND p_size = 11 AND p_partkey // 10 IN (0, 1, 2, 3, 4, 5)")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as sc
 from tessera.functions import validation as va
-from tessera.functions.formula import Node, calculated, formula, parse
+from tessera.functions.formula import Node, calculated, formula, parse, to_script
+from tessera.functions.registered import register
 from tessera.functions.structured import Build, field, item, lit, param, x
 from tessera.operators import actions as ac
 from tessera.operators import joins as jn
@@ -154,6 +155,33 @@ def _(s, d):
     return load(s, d, "nation").select("n_nationkey", sc.slug(n).alias("slug"), sc.spaced(n).alias("spaced"), sc.plural(F.lit("Category")).alias("plural"))
 
 
+@query(
+    "expr_js",
+    "SELECT r_regionkey, ['(roundNumber((parseFieldValue(''o_totalprice'') * 0.5), 2) > Math.max(parseFieldValue(''a.b''), -3))', '(parseFieldValue(''x'') ? ''it\\''s'' : null)'] AS scripts FROM region",
+)
+def _(s, d):
+    scripts = [to_script(parse(t)) for t in ("Round(o_totalprice * .5, 2) > Max(a.b, -3)", """If(x, "it's", null)""")]
+    return load(s, d, "region").select("r_regionkey", F.array(*map(F.lit, scripts)).alias("scripts"))
+
+
+@query("udf_scalar", "SELECT n_name, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM nation")
+def _(s, d):
+    register(s)
+    return s.sql("SELECT n_name, fnv1a_32(n_name) AS h FROM {t}", t=load(s, d, "nation"))
+
+
+@query("udf_aggregate", "SELECT o_orderstatus, quantile_disc(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")
+def _(s, d):
+    register(s)
+    return s.sql("SELECT o_orderstatus, nearest_rank_95(o_totalprice) AS p95 FROM {t} GROUP BY 1", t=load(s, d, "orders"))
+
+
+@query("udf_table", "SELECT p_partkey, CAST(k AS INTEGER) AS place, w[k] AS word FROM (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w, unnest(range(1, len(w) + 1)) AS k FROM part)")
+def _(s, d):
+    register(s)
+    return s.sql("SELECT p_partkey, place, word FROM {t}, LATERAL words_of(p_name)", t=load(s, d, "part"))
+
+
 @query("date_advance", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST((greatest(0, date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01')) // 7 + 1) * 7 AS INTEGER) AS v FROM orders WHERE o_orderdate <= DATE '2002-01-01'")
 def _(s, d):
     o = load(s, d, "orders").where("o_orderdate <= date'2002-01-01'")
@@ -175,9 +203,14 @@ def _(s, d):
     return load(s, d, "region").select("r_name", sc.fnv1a_32(F.col("r_name")).alias("v"))
 
 
-@query("crc32c")
+@query(
+    "crc32c",
+    """WITH RECURSIVE h AS (SELECT r_name, 0 AS bit, CAST(4294967295 AS BIGINT) AS v FROM region
+    UNION ALL SELECT r_name, bit + 1, CASE WHEN w & 1 = 1 THEN xor(w >> 1, CAST(2197175160 AS BIGINT)) ELSE w >> 1 END FROM (
+      SELECT r_name, bit, CASE WHEN bit % 8 = 0 THEN xor(v, CAST(ascii(substr(r_name, bit // 8 + 1, 1)) AS BIGINT)) ELSE v END AS w FROM h WHERE bit < 8 * length(r_name)))
+    SELECT r_name, xor(v, CAST(4294967295 AS BIGINT)) AS crc FROM h WHERE bit = 8 * length(r_name)""",
+)
 def _(s, d):
-    """Tests hold it against the known check value and a plain loop."""
     return load(s, d, "region").select("r_name", sc.crc32c(F.col("r_name")).alias("crc"))
 
 
@@ -189,12 +222,13 @@ def _(s, d):
     return undelta(deltas(e, ["event_id"], "event_id", ["user_id"]), ["event_id"], ["user_id"])
 
 
-@query("sequence_ids", "SELECT n_name, n_nationkey + 25 + 1 AS id FROM nation")
+@query("sequence_ids", "SELECT c_name, (SELECT max(c_custkey) FROM customer WHERE c_custkey % 3 = 0) + row_number() OVER (ORDER BY c_name) AS id FROM customer WHERE c_custkey % 3 <> 0")
 def _(s, d):
-    n = load(s, d, "nation")
-    # a small table's next ids: the largest one so far and the place in key order
-    top = n.agg(F.max("n_nationkey").alias("top"), F.count(F.lit(1)).alias("many"))
-    return n.crossJoin(F.broadcast(top)).select("n_name", (F.col("n_nationkey") + F.col("top") + 2).cast("int").alias("id"))
+    """New rows get ids after the largest of the rows that have one, whose keys have gaps."""
+    from tessera.operators.changes import next_ids
+
+    c = load(s, d, "customer")
+    return next_ids(c.where("c_custkey % 3 <> 0").select("c_name"), ["c_name"], c.where("c_custkey % 3 = 0"), "c_custkey").select("c_name", "id")
 
 
 # -- validation

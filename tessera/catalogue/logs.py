@@ -30,9 +30,14 @@ def _(s, d):
     return ch.patch(rows, deltas, "c_custkey", "version", read_only=("c_name",)).select("c_custkey", "c_mktsegment", "version", "status")
 
 
-@query("cdc_projection", "SELECT DISTINCT event_type AS value, user_id AS id FROM events")
+@query("cdc_projection", "SELECT arg_max(event_type, event_id) AS value, user_id AS id FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
 def _(s, d):
-    return load(s, d, "events").select(F.col("event_type").alias("value"), F.col("user_id").alias("id")).distinct()
+    """The index after three commits, the last of which holds entries older than those before it."""
+    log = load(s, d, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
+    index = None
+    for third in (1, 2, 0):
+        index = ch.maintain(index, log.where(F.col("event_id") % 3 == third), "user_id", "event_type", "event_id", "op")
+    return ch.entries(index, "user_id", "event_type", "op")
 
 
 LIVE = "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'"
@@ -59,16 +64,17 @@ def _(s, d):
     return files.replay(files.snapshot(old, folder(s, "snapshot"), "user_id", "event_id", "op"), log, "user_id", "event_id", "op").select("user_id", "value")
 
 
-@query("wal_backup", "SELECT count(*) AS differences FROM events WHERE false")
+@query("wal_backup", "SELECT event_id, 'left' AS side FROM events WHERE event_id % 7 = 0")
 def _(s, d):
+    """A backup taken before every seventh entry was written: restored, it lacks these and nothing else."""
     log, path = _log(s, d), folder(s, "backup")
-    log.write.parquet(path)
-    return files.differences(log, s.read.parquet(path)).agg(F.count(F.lit(1)).alias("differences"))
+    log.where(F.col("event_id") % 7 != 0).write.parquet(path)
+    return files.differences(log, s.read.parquet(path)).select("event_id", "side")
 
 
-@query("replicate_status", "SELECT max(event_id) AS lsn, max(event_id) - 500 AS lag FROM events")
+@query("replicate_status", "SELECT 3 AS epoch, max(event_id) AS leader_lsn, CAST(500 AS BIGINT) AS after_lsn, max(event_id) - 500 AS lag, count(*) FILTER (event_id > 500) AS pending FROM events")
 def _(s, d):
-    return _log(s, d).agg(F.max("event_id").alias("lsn"), (F.max("event_id") - 500).alias("lag"))
+    return ch.replication(_log(s, d), "event_id", 500, 3)
 
 
 @query("binary_serializer", "SELECT * FROM customer")
@@ -85,10 +91,24 @@ def _(s, d):
     return s.read.parquet(path)
 
 
-@query("roll_metrics", "SELECT event_id, count(*) OVER w AS n, round(min(value) OVER w, 4) AS low, round(max(value) OVER w, 4) AS high, round(avg(value) OVER w, 4) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW)")
+STATUS = "CASE WHEN event_type = 'error' THEN 500 WHEN event_id % 10 = 0 THEN 404 WHEN event_id % 10 = 1 THEN 429 WHEN event_id % 10 = 2 THEN 302 ELSE 200 END"
+
+
+@query(
+    "roll_metrics",
+    f"""WITH timed AS (SELECT value, {STATUS} AS status, (epoch_us(ts) + 59999999) // 60000000 AS first, (epoch_us(ts) + 300000000) // 60000000 AS last FROM events),
+    ticks AS (SELECT DISTINCT unnest(range(first, last + 1)) AS k FROM timed),
+    recent AS (SELECT k, count(*) AS n, round(min(value), 4) AS low, round(max(value), 4) AS high, round(avg(value), 4) AS mean, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99
+      FROM ticks JOIN timed ON k BETWEEN first AND last GROUP BY k),
+    firsts AS (SELECT first AS k, count(*) AS total, count(*) FILTER (status // 100 = 2) AS ok, count(*) FILTER (status // 100 = 4) AS client, count(*) FILTER (status // 100 = 5) AS server,
+      count(*) FILTER (status // 100 NOT IN (2, 4, 5)) AS other, count(*) FILTER (status >= 500) AS errors, count(*) FILTER (status = 429) AS throttled FROM timed GROUP BY 1)
+    SELECT k * 60 AS tick, n, low, high, mean, p95, p99, {", ".join(f"CAST(sum(coalesce({c}, 0)) OVER w AS BIGINT) AS {c}" for c in ("total", "ok", "client", "server", "other", "errors", "throttled"))}
+    FROM recent LEFT JOIN firsts USING (k) WINDOW w AS (ORDER BY k)""",
+)
 def _(s, d):
-    out = ch.rolling(load(s, d, "events"), "ts", "value", 300, ["event_type"])
-    return out.select("event_id", "n", *[F.round(c, 4).alias(c) for c in ("low", "high", "mean")])
+    """Each minute the figures of the last five and the counters so far."""
+    out = ch.snapshots(load(s, d, "events").withColumn("status", F.expr(STATUS)), "ts", "value", "status", 60, 300)
+    return out.withColumns({c: F.round(c, 4) for c in ("low", "high", "mean")})
 
 
 @query("roll_percentile", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
@@ -101,17 +121,24 @@ def _(s, d):
     return ch.top_clients(load(s, d, "events"), "user_id", "ts", 10)
 
 
-@query("client_state")
+@query(
+    "client_state",
+    """WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch_us(ts) / 1e6 AS t FROM events),
+    w AS (SELECT user_id, k, t, t AS began, CAST(1 AS BIGINT) AS inside, false AS suspicious, false AS blocked FROM o WHERE k = 1
+      UNION ALL SELECT user_id, k, t, began, inside, suspicious OR inside > allowed, inside > allowed FROM (
+        SELECT o.user_id, o.k, o.t, CASE WHEN o.t - w.began >= 600 THEN o.t ELSE w.began END AS began, CASE WHEN o.t - w.began >= 600 THEN 1 ELSE w.inside + 1 END AS inside,
+               w.suspicious, CASE WHEN w.suspicious THEN 1 ELSE 3 END AS allowed FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1))
+    SELECT user_id AS client, k AS n, round(t, 3) AS last_seen, round(began, 3) AS window_start, inside AS window_n, suspicious, blocked FROM w QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""",
+)
 def _(s, d):
-    """Per-client request state; tests hold it against a plain loop."""
-    return st.clients(load(s, d, "events"), "user_id", "ts", limit=3, lowered=1, width=600.0)
+    out = st.clients(load(s, d, "events"), "user_id", "ts", limit=3, lowered=1, width=600.0)
+    return out.withColumns({c: F.round(c, 3) for c in ("last_seen", "window_start")})
 
 
-@query("state_prune", "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
+@query("state_prune", "SELECT user_id AS client, count(*) AS n FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
 def _(s, d):
-    seen = load(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    now = load(s, d, "events").agg(F.max("ts").alias("now"))
-    return seen.crossJoin(F.broadcast(now)).where(F.col("last_seen") >= F.col("now") - F.expr("interval 2 hours")).drop("now")
+    """The states that are left when those idle for two hours have gone, as a stream's timers let them go."""
+    return st.clients(load(s, d, "events"), "user_id", "ts", limit=3, lowered=1, width=600.0, idle=2 * 3600 * 1000).select("client", "n")
 
 
 @query("idx_secondary", "SELECT event_type AS value, user_id AS id FROM (SELECT event_type, user_id, arg_max(event_id % 3, event_id) AS op FROM events GROUP BY ALL) WHERE op <> 0")
@@ -151,18 +178,35 @@ def _(s, d):
     return ch.audit(load(s, d, "events"), kind="purchase", start=lit("2024-01-02"), end=lit("2024-01-10")).select("event_id", "user_id", "ts")
 
 
-@query("sched_run", "SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS due FROM orders WHERE o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '1996-01-01'")
+@query("sched_run", "SELECT o_orderkey, CASE WHEN due THEN 'R' ELSE o_orderstatus END AS o_orderstatus, due AS ran FROM (SELECT *, o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '1996-01-01' AS due FROM orders)")
 def _(s, d):
-    o = load(s, d, "orders").select("o_orderkey", F.expr("o_orderdate + interval 30 days").alias("due"))
-    return o.where(F.col("due") <= F.lit("1996-01-01").cast("timestamp_ntz"))
+    """The action runs on the rows whose interval has passed; the others stay as they are."""
+    from tessera.functions.structured import lit
+    from tessera.operators import actions as ac
 
+    now = F.lit("1996-01-01").cast("timestamp_ntz")
+    o = load(s, d, "orders").select("o_orderkey", "o_orderstatus", (F.expr("o_orderdate + interval 30 days") <= now).alias("ran"))
+    return ac.when_due(o, "ran", [ac.Set("o_orderstatus", lit("R"))])
 
-@query("periodic_reset", "SELECT o_orderkey, 'O' AS status, CAST(o_orderdate AS DATE) + CAST((date_diff('day', CAST(o_orderdate AS DATE), DATE '2003-06-01') // 7 + 1) * 7 AS INTEGER) AS next FROM orders WHERE o_orderstatus = 'F'")
+
+PERIODS = ("Daily", "Weekly", "Monthly", "Quarterly", "Yearly")
+
+
+@query(
+    "periodic_reset",
+    """WITH RECURSIVE done AS (SELECT o_orderkey, last_day(o_orderdate) AS d, ['Daily', 'Weekly', 'Monthly', 'Quarterly', 'Yearly'][o_orderkey % 5 + 1] AS period FROM orders WHERE o_orderstatus = 'F'),
+    walk AS (SELECT DISTINCT d, period, d AS next FROM done
+      UNION ALL SELECT d, period, CAST(next + CASE period WHEN 'Daily' THEN INTERVAL 1 DAY WHEN 'Weekly' THEN INTERVAL 7 DAY WHEN 'Monthly' THEN INTERVAL 1 MONTH WHEN 'Quarterly' THEN INTERVAL 3 MONTH ELSE INTERVAL 1 YEAR END AS DATE) FROM walk WHERE next <= DATE '2003-02-10')
+    SELECT o_orderkey, 'O' AS status, period, next FROM done JOIN walk USING (d, period) WHERE next > DATE '2003-02-10'""",
+)
 def _(s, d):
+    """Finished orders get their next date by their own period; month ends are clamped, and stay clamped."""
     from tessera.functions.scalars import date_advance
 
-    o = load(s, d, "orders").where("o_orderstatus = 'F'")
-    return o.select("o_orderkey", F.lit("O").alias("status"), date_advance(F.to_date("o_orderdate"), "Weekly", F.lit("2003-06-01").cast("date")).alias("next"))
+    o = load(s, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.last_day(F.to_date("o_orderdate")).alias("d"), F.element_at(F.array(*map(F.lit, PERIODS)), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("period"))
+    today = F.lit("2003-02-10").cast("date")
+    steps = F.coalesce(*[F.when(F.col("period") == p, date_advance(F.col("d"), p, today)) for p in PERIODS])
+    return o.select("o_orderkey", F.lit("O").alias("status"), "period", steps.alias("next"))
 
 
 # -- windows over events, additions to what the change-driven engine has

@@ -232,10 +232,10 @@ def _(s, d):
     return filtered(lists, Clause("seen", "contains", ["1-Urgent", "5-low"]))
 
 
-@query("filter_querystring", "SELECT * FROM part WHERE contains(lower(p_name), 'bolt') AND p_size = 7 ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 2")
+@query("filter_querystring", "SELECT * FROM part WHERE contains(lower(p_name), 'bolt') AND p_size = 33 ORDER BY p_retailprice DESC, p_partkey LIMIT 20 OFFSET 2")
 def _(s, d):
     df = load(s, d, "part")
-    return run_query(df, fl.from_querystring(df, {"f_p_name": "Bolt", "field": "p_size", "value": "7", "sort": "p_retailprice", "dir": "desc", "skip": "2", "top": "20"}), "p_partkey")
+    return run_query(df, fl.from_querystring(df, {"f_p_name": "Bolt", "field": "p_size", "value": "33", "sort": "p_retailprice", "dir": "desc", "skip": "2", "top": "20"}), "p_partkey")
 
 
 @query("filter_json", "SELECT * FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 30")

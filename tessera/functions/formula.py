@@ -4,7 +4,7 @@
     sum        := product {(+ | -) product}
     product    := unary {(* | / | %) unary}
     unary      := (+ | -) unary | primary
-    primary    := number | 'text' | "text" | true | false | null | name(args) | name.name... | (comparison)
+    primary    := number (a leading point will do) | 'text' | "text" | true | false | null | name(args) | name.name... | (comparison)
 
 Arithmetic reads null and text that is no number as 0; + joins texts if either side is one; comparison is numeric;
 Round goes to even; division by zero is an error.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .semantics import truthy
 
 NUMBER = T.DecimalType(28, 10)
-TOKEN = re.compile(r"""\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<name>[^\W\d]\w*)|(?P<text>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<sign>>=|<=|==|!=|[-+*/%<>(),.]))""")
+TOKEN = re.compile(r"""\s*(?:(?P<number>\d+(?:\.\d+)?|\.\d+)|(?P<name>[^\W\d]\w*)|(?P<text>'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*")|(?P<sign>>=|<=|==|!=|[-+*/%<>(),.]))""")
 BINDING = {">": 1, "<": 1, ">=": 1, "<=": 1, "==": 1, "!=": 1, "+": 2, "-": 2, "*": 3, "/": 3, "%": 3}
 WORDS = {"true": True, "false": False, "null": None}
 
@@ -214,6 +214,30 @@ class Compiler:
         raise ValueError(f"unknown function {n.what!r}")
 
 
+#: What the functions are called in a page's script; lookups are calls that a page awaits.
+SCRIPT_NAMES = {"round": "roundNumber", "min": "Math.min", "max": "Math.max", "abs": "Math.abs", "relatedlookup": "await relatedLookup", "querylookup": "await queryLookup", "lookupmultilevel": "await queryLookup"}
+
+
+def to_script(n: Node, read: str = "parseFieldValue", names: Mapping[str, str] = SCRIPT_NAMES) -> str:
+    """The tree as a JavaScript expression, which reads fields through the function ``read``."""
+    args = [to_script(a, read, names) for a in n.args]
+    if n.kind == "literal":
+        if isinstance(n.what, str):
+            return "'" + n.what.replace("'", "\\'") + "'"
+        return json.dumps(n.what)
+    if n.kind == "path":
+        return f"{read}('{'.'.join(n.what)}')"
+    if n.kind == "unary":
+        return f"{n.what}{args[0]}"
+    if n.kind == "binary":
+        return f"({args[0]} {n.what} {args[1]})"
+    if n.what.lower() == "if" and len(args) == 3:
+        return f"({args[0]} ? {args[1]} : {args[2]})"
+    if n.what.lower() not in names:
+        raise ValueError(f"unknown function {n.what!r}")
+    return f"{names[n.what.lower()]}({', '.join(args)})"
+
+
 def formula(df: DataFrame, text: str, paths: Mapping[str, Column] = {}) -> Column:
     return Compiler(df, paths).compile(parse(text))[0]
 

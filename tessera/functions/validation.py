@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .formula import formula
 
 EMAIL = r"\A[^@\s]+@[^@\s]+\.[^@\s]+\z"
-PHONE = r"\A\+?[0-9 ().-]{7,20}\z"
+#: Fixed value: what counts as a telephone number. Digits and spaces of any script count, hence (?U).
+PHONE = r"(?U)^[\+]?[\d\s\-\(\)\.]{7,20}$"
 
 
 def _blank(c: Column) -> Column:

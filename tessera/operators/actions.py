@@ -88,3 +88,10 @@ def invoke(df: DataFrame, target: DataFrame, fk: str, key: str, steps: list[Step
     hit = target.join(asked, key, "left_semi")
     rest = target.join(asked, key, "left_anti").withColumn("problems", F.array().cast("array<string>"))
     return apply(hit, steps, params).unionByName(rest)
+
+
+def when_due(df: DataFrame, due: str, steps: list[Step], params: Mapping[str, object] = {}) -> DataFrame:
+    """A scheduled run: the steps on the rows whose column ``due`` holds, the others as they were."""
+    fields = [s.field for s in steps if not isinstance(s, Assert)]
+    ran = apply(df.withColumns({f"_was_{f}": F.col(f"`{f}`") for f in fields}), steps, params)
+    return ran.withColumns({f: F.when(F.col(due), F.col(f"`{f}`")).otherwise(F.col(f"`_was_{f}`")) for f in fields}).select(*df.columns)

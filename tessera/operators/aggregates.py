@@ -63,7 +63,7 @@ def by_day(df: DataFrame, when: str) -> DataFrame:
 
 
 def timetable(df: DataFrame, slot: Column, order: Column, entry: Column) -> DataFrame:
-    """Entries of each slot in order. For small tables of appointments: a slot's entries make one list."""
+    """Entries of each slot in order. A slot's entries make one list, which is the feature; so a slot must fit one row."""
     return df.groupBy(slot.alias("slot")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), entry.alias("e")))), lambda x: x["e"]).alias("entries"))
 
 
@@ -117,11 +117,18 @@ def document_graph(parts: dict[str, DataFrame], links: dict[tuple[str, str], tup
 
 
 def column_stats(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Of each numeric column: rows, nulls, distinct values, smallest and largest. One pass for all columns but the distinct counts."""
-    measures = [x for c in fields for x in (F.count(c).alias(f"{c}.n"), F.countDistinct(c).alias(f"{c}.d"), F.min(F.col(c).cast("double")).alias(f"{c}.lo"), F.max(F.col(c).cast("double")).alias(f"{c}.hi"))]
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *measures)
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col("rows"), (F.col("rows") - F.col(f"`{c}.n`")).alias("nulls"), F.col(f"`{c}.d`").alias("distinct_values"), F.col(f"`{c}.lo`").alias("low"), F.col(f"`{c}.hi`").alias("high")) for c in fields]))
-    return wide.select(each.alias("s")).select("s.*")
+    """Of each numeric column: rows, nulls, distinct values, smallest and largest.
+
+    A pass a column, which reads that column alone: its values are counted, and the rest follows from the counts. All
+    distinct counts in one pass would make a row of each row for each column."""
+    out = None
+    for c in fields:
+        counts = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        low, high = (f(F.col("v").cast("double")) for f in (F.min, F.max))
+        one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values"), low.alias("low"), high.alias("high"))
+        one = one.select(F.lit(c).alias("field"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def histogram(df: DataFrame, field: str, buckets: int = 64) -> DataFrame:

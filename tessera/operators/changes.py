@@ -53,6 +53,24 @@ def index_log(log: DataFrame, value: str, key: str, seq: str, op: str, now: Colu
     return alive.select(F.col(value).alias("value"), F.col(key).alias("id"))
 
 
+def maintain(index: DataFrame | None, commits: DataFrame, key: str, value: str, seq: str, op: str) -> DataFrame:
+    """A secondary index after some more commits: key, value, seq and op of each key's newest commit. A delete stays as
+    such, so that an older commit that comes late doesn't bring the entry back."""
+    rows = commits.select(key, value, seq, op)
+    return latest(rows if index is None else index.unionByName(rows), key, seq)
+
+
+def entries(index: DataFrame, key: str, value: str, op: str) -> DataFrame:
+    """value, id of the live entries."""
+    return index.where(F.col(op) != "delete").select(F.col(value).alias("value"), F.col(key).alias("id"))
+
+
+def replication(log: DataFrame, seq: str, after: int, epoch: int) -> DataFrame:
+    """What a leader tells a follower that has come as far as ``after``: epoch, leader_lsn, after_lsn, lag, and how many
+    entries it has to send."""
+    return log.agg(F.lit(epoch).alias("epoch"), F.max(seq).alias("leader_lsn"), F.lit(after).cast("long").alias("after_lsn"), (F.max(seq) - after).alias("lag"), F.count_if(F.col(seq) > after).alias("pending"))
+
+
 @dataclass(frozen=True)
 class Subscription:
     name: str
@@ -92,11 +110,30 @@ def summary(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), nearest_rank(0.95, value).alias("p95"), nearest_rank(0.99, value).alias("p99"))
 
 
-def rolling(df: DataFrame, when: str, value: str, seconds: int, by: list[str]) -> DataFrame:
-    """At each row the figures of the rows of its group in the seconds up to it."""
-    at = F.unix_micros(F.col(when).cast("timestamp"))
-    frame = Window.partitionBy(*by).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumns({"n": F.count(F.lit(1)).over(frame), "low": F.min(value).over(frame), "high": F.max(value).over(frame), "mean": F.avg(value).over(frame)})
+def status_counts(status: Column) -> dict[str, Column]:
+    """Requests by the class of their status: what each counter counts."""
+    between = lambda low, high: (status >= low) & (status <= high)
+    ok, client, server = between(200, 299), between(400, 499), between(500, 599)
+    return {"total": F.lit(True), "ok": ok, "client": client, "server": server, "other": ~(ok | client | server), "errors": status >= 500, "throttled": status == 429}
+
+
+def snapshots(df: DataFrame, when: str, value: str, status: str, every: int, seconds: int) -> DataFrame:
+    """tick (in seconds since 1970) and the figures that a monitor shows then: n, low, high, mean, p95 and p99 of the last
+    ``seconds``, and counters by class of status of all there has been. Ticks whose window is empty have no row.
+
+    A request goes to the ticks whose windows hold it, ``seconds`` / ``every`` of them, so figures are one aggregate by
+    tick and no window is sorted; counters are sums over ticks, a row each."""
+    step, width = every * 1_000_000, seconds * 1_000_000
+    if step > width:
+        raise ValueError("ticks may not be further apart than their windows are wide")
+    rows = df.select(F.unix_micros(F.col(when).cast("timestamp")).alias("_at"), F.col(value).alias("_v"), F.col(status).alias("_s"))
+    rows = rows.withColumns({"_first": F.expr(f"(_at + {step - 1}) div {step}"), "_last": F.expr(f"(_at + {width}) div {step}")})
+    rows = rows.select("_v", "_s", "_first", F.explode(F.sequence("_first", "_last")).alias("_tick"))
+    counters = status_counts(F.col("_s"))
+    new = [F.sum((F.coalesce(hit, F.lit(False)) & (F.col("_tick") == F.col("_first"))).cast("long")).alias(name) for name, hit in counters.items()]
+    out = rows.groupBy("_tick").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.avg("_v").alias("mean"), nearest_rank(0.95, "_v").alias("p95"), nearest_rank(0.99, "_v").alias("p99"), *new)
+    so_far = Window.orderBy("_tick").rowsBetween(Window.unboundedPreceding, 0)  # one row a tick
+    return out.select((F.col("_tick") * every).alias("tick"), "n", "low", "high", "mean", "p95", "p99", *[F.sum(name).over(so_far).alias(name) for name in counters])
 
 
 def top_clients(df: DataFrame, client: str, when: str, most: int) -> DataFrame:
@@ -114,13 +151,25 @@ def undelta(df: DataFrame, order: list[str], by: list[str]) -> DataFrame:
     return df.withColumn("value", F.sum("delta").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def dictionary(df: DataFrame, field: str) -> DataFrame:
-    """value, code: distinct values numbered in order from 0.
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows with their place in this order, from 0.
 
-    Values are sorted by range and numbered within each partition; the partitions' counts, one row each, give the rest."""
-    values = df.where(F.col(field).isNotNull()).select(F.col(field).alias("value")).distinct()
+    They are sorted by range and numbered within each partition; the partitions' counts, one row each, give the rest."""
     at = F.monotonically_increasing_id()
-    ranged = settle(values.repartitionByRange("value").sortWithinPartitions("value").select("value", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return ranged.join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("place")).cast("int").alias("code"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(at, 33), "_place": at.bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = settle(ranged)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def dictionary(df: DataFrame, field: str) -> DataFrame:
+    """value, code: distinct values numbered in order from 0."""
+    values = df.where(F.col(field).isNotNull()).select(F.col(field).alias("value")).distinct()
+    return numbered(values, ["value"], "code").withColumn("code", F.col("code").cast("int"))
+
+
+def next_ids(rows: DataFrame, order: list[str], taken: DataFrame, key: str) -> DataFrame:
+    """The rows with id: numbers in this order, from the one after the largest key that is taken."""
+    top = taken.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))  # one row
+    return numbered(rows, order, "_nth").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + 1 + F.col("_nth")).drop("_top", "_nth")

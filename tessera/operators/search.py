@@ -39,7 +39,7 @@ def _tier(token: Column, wanted: str) -> Column:
 def inverted(df: DataFrame, key: str, fields: list[str], text: str) -> DataFrame:
     """Keys of rows that any query word finds; each word takes only its best tier over all rows.
 
-    One pass gives every hit with its tier, and one small aggregate the best tier of each word."""
+    Two passes over the rows: one for the best tier of each word, a row a word, and one for the keys of its hits."""
     asked = words(text)
     if not asked:
         return df.select(key).limit(0)

@@ -41,7 +41,7 @@ def page_with_total(df: DataFrame, query: QueryDefinition, key: str) -> tuple[Da
 
 def truncated(df: DataFrame, most: int = 10_000) -> bool:
     """Whether a result has more rows than may be shown."""
-    return len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) > most
+    return df.limit(most + 1).count() > most
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:

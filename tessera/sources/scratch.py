@@ -10,10 +10,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, by setting or on its context. Where neither is set, a temporary
+    folder serves a single machine; on a cluster, whose executors could not see that, it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tessera")
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; it goes when the driver ends. Without the setting a temporary folder serves."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; it goes when the driver ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.changes import latest
+from tessera.operators.changes import latest, maintain
 
 
 def stream_files(spark: SparkSession, folder: str, schema: T.StructType, per_trigger: int = 1) -> DataFrame:
@@ -61,9 +61,15 @@ def upsert_stream(log: DataFrame, key: str, seq: str, op: str, path: str, checkp
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 
 
-def projection_stream(log: DataFrame, path: str, checkpoint: str, project: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Keeps a secondary table: each batch, projected, is written to a folder of its own number."""
-    return log.writeStream.foreachBatch(lambda batch, n: project(batch).write.mode("overwrite").parquet(f"{path}/{n}")).option("checkpointLocation", checkpoint).start()
+def projection_stream(log: DataFrame, key: str, value: str, seq: str, op: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a secondary index in step with the commits: after batch n it is in ``path``/<n>, and the one before the last
+    may go. A batch that is run again gives the same index."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        old = batch.sparkSession.read.parquet(f"{path}/{number - 1}") if number else None
+        maintain(old, batch, key, value, seq, op).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 
 
 CLIENT = "client long, n long, last_seen double, window_start double, window_n long, suspicious boolean, blocked boolean"
@@ -85,9 +91,15 @@ def advance(state: tuple, seconds: float, limit: int, lowered: int, width: float
 EMPTY = (0, None, None, 0, False, False)
 
 
+def pruned(states: DataFrame, now: Column | float, idle: float) -> DataFrame:
+    """Client states that were seen in the last ``idle`` seconds."""
+    return states.where(F.col("last_seen") >= F.lit(now) - F.lit(idle))
+
+
 def clients(events: DataFrame, client: str, when: str, limit: int, lowered: int, width: float = 1.0, idle: int | None = None) -> DataFrame:
-    """The state of each client after its events in order; on a stream, state is kept between batches and goes when a
-    client has been idle for so many milliseconds."""
+    """The state of each client after its events in order; with ``idle``, without clients that have been idle for more than
+    so many milliseconds: on a batch at the time of the last event, on a stream, which keeps state between batches, by a
+    timer of each state."""
     rows = events.select(F.col(client).cast("long").alias("client"), (F.unix_micros(F.col(when).cast("timestamp")) / 1e6).alias("t"))
 
     def run(t: pd.Series, state: tuple) -> tuple:
@@ -114,7 +126,11 @@ def clients(events: DataFrame, client: str, when: str, limit: int, lowered: int,
             yield pd.DataFrame([(now, *state)], columns=names)
 
     if not events.isStreaming:
-        return rows.where("client is not null").repartition("client").sortWithinPartitions("client", "t").mapInPandas(fold, CLIENT)
+        states = rows.where("client is not null").repartition("client").sortWithinPartitions("client", "t").mapInPandas(fold, CLIENT)
+        if idle is None:
+            return states
+        now = rows.agg(F.max("t").alias("_now"))  # one row
+        return pruned(states.crossJoin(F.broadcast(now)), F.col("_now"), idle / 1000).drop("_now")
 
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -31,6 +31,22 @@ def test_entry_works_without_the_subpackage(tmp_path):
     assert out.returncode == 0, out.stderr
     many, sql, llm = out.stdout.split()
     assert int(many) > 200 and int(sql) > 200 and llm == "False"
+    (tmp_path / "tests").mkdir()
+    for f in (ROOT / "tests").glob("*.py"):
+        if f.name != "test_entry.py":
+            os.symlink(f, tmp_path / "tests" / f.name)
+    some = ["tests/test_filters.py", "tests/test_expressions.py", "tests/test_catalogue.py::test_same_as_sql[agg_count]"]
+    out = subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", *some], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stdout[-3000:]
+
+
+def test_a_missing_package_is_seen(tmp_path):
+    """Only the subpackage and its pipeline may be missing, not what they import."""
+    (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_package\n")
+    os.symlink(ROOT / "tessera", tmp_path / "tessera")
+    out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert out.returncode != 0 and "no_such_package" in out.stderr
 
 
 def test_bench_prints_one_line():

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as sc
 from tessera.functions import validation as va
-from tessera.functions.formula import Node, calculated, formula, parse
+from tessera.functions.formula import Node, calculated, formula, parse, to_script
 from tessera.functions.structured import Build, field, item, lit, param, x
 from tessera.operators import actions as ac
 
@@ -104,3 +104,17 @@ def test_validation(spark):
     df = spark.createDataFrame([("a@b.co", "+1 555 123 4567", "https://x.y/z", "ab"), ("nope", "call", "ftp://x", "abcdef"), ("", None, "", "")], "mail string, tel string, url string, s string")
     rules = {"mail": va.email(F.col("mail")), "tel": va.phone(F.col("tel")), "url": va.url(F.col("url")), "len": va.length(F.col("s"), 1, 3), "rule": va.rule(df, "nothing > 1")}
     assert [r.errors for r in va.validate(df, rules).collect()] == [[], ["mail", "tel", "url", "len"], []]
+
+
+def test_phone_numbers_of_any_script(spark):
+    tel = ["+1\t(555) 123.45-67", "٠١٢٣٤٥٦٧", "12 34", "1234567x", "1" * 21]
+    df = spark.createDataFrame([(t,) for t in tel], "t string")
+    assert [r.ok for r in df.select(va.phone(F.col("t")).alias("ok")).collect()] == [True, True, False, False, False]
+
+
+def test_leading_points_and_scripts(spark):
+    assert spark.range(1).select(formula(spark.range(1), ".5 + 1.25").cast("double")).first()[0] == 1.75
+    assert to_script(parse("-x.y + 'a' % .25 != True")) == "((-parseFieldValue('x.y') + ('a' % 0.25)) != true)"
+    assert to_script(parse("RelatedLookup(a, 'b')"), read="get") == "await relatedLookup(get('a'), 'b')"
+    with pytest.raises(ValueError):
+        to_script(parse("nothing(1)"))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators.changes import entries, maintain
 from tessera.streaming import streams as st
 
 FOLDER = "/root/testdata/sf0.001"
@@ -46,6 +47,30 @@ def test_upsert_stream_equals_latest(spark, parts, tmp_path):
     assert got == want
 
 
+def test_projection_stream_keeps_the_index(spark, parts, tmp_path):
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
+    log = stream(spark, parts).withColumn("op", op)
+    run(st.projection_stream(log, "user_id", "event_type", "event_id", "op", str(tmp_path / "t"), str(tmp_path / "c")))
+    got = {(r.value, r.id) for r in entries(spark.read.parquet(str(tmp_path / "t" / "2")), "user_id", "event_type", "op").collect()}
+    newest = {r.user_id: r.event_type for r in spark.read.parquet(f"{FOLDER}/events.parquet").orderBy("event_id").collect()}
+    assert got == {(v, k) for k, v in newest.items() if v != "error"}
+
+
+def test_late_commits_bring_nothing_back(spark):
+    rows = lambda *r: spark.createDataFrame(r, "k long, v string, seq long, op string")
+    index = maintain(None, rows((1, "a", 5, "upsert"), (2, "b", 6, "upsert")), "k", "v", "seq", "op")
+    index = maintain(index, rows((1, "a", 9, "delete"), (3, "c", 7, "upsert")), "k", "v", "seq", "op")
+    index = maintain(index, rows((1, "z", 8, "upsert"), (2, "y", 1, "upsert")), "k", "v", "seq", "op")
+    assert sorted((r.value, r.id) for r in entries(index, "k", "v", "op").collect()) == [("b", 2), ("c", 3)]
+
+
+def test_idle_clients_go(spark):
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    whole = {r.client: r.last_seen for r in st.clients(events, "user_id", "ts", 2, 1, 3600.0).collect()}
+    kept = {r.client for r in st.clients(events, "user_id", "ts", 2, 1, 3600.0, idle=6 * 3600 * 1000).collect()}
+    assert kept == {c for c, t in whole.items() if t >= max(whole.values()) - 6 * 3600} and 0 < len(kept) < len(whole)
+
+
 def test_client_state_is_a_plain_loop(spark):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
     got = {r.client: tuple(r)[1:] for r in st.clients(events, "user_id", "ts", 2, 1, 3600.0).collect()}
