@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import shared
+
 #: Bytes of one Arrow batch, unless the session sets its own; documents may be long, so a count of rows bounds nothing.
 BATCH_BYTES = 4 << 20
 
@@ -47,13 +48,12 @@ def spread(df: DataFrame) -> DataFrame:
 class Scratch:
     """Tables written to the folder that spark.checkpoint.dir names, so that a lost executor costs no recomputation.
 
-    Where the setting is absent (tests) a temporary folder of the driver serves. Everything goes when the driver ends;
-    ``drop`` frees a table earlier.
+    Without the setting a temporary folder serves a single machine; on a cluster that is an error. Everything goes when
+    the driver ends; ``drop`` frees a table earlier.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera")
-        self.spark, self.root = spark, f"{root}/{tag}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared(spark)}/{tag}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
