@@ -47,6 +47,29 @@ def similarity(a: str, b: str) -> float:
     return 1 - edit_distance(a, b) / max(1, len(a), len(b))
 
 
+def common(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def near(a: str, b: str, threshold: float) -> bool:
+    """Whether the similarity is ``threshold`` or more. What two texts begin and end with alike costs no distance."""
+    longest = max(1, len(a), len(b))
+    if abs(len(a) - len(b)) > (1 - threshold) * longest + 1e-9:
+        return False
+    k = common(a, b)
+    a, b = a[k:], b[k:]
+    k = common(a[::-1], b[::-1])
+    return 1 - edit_distance(a[: len(a) - k], b[: len(b) - k]) / longest >= threshold - 1e-12
+
+
 def band_places(bands: int, bits: int) -> np.ndarray:
     rng = np.random.default_rng(80)
     return np.stack([rng.choice(SAMPLES, bits, replace=False) for _ in range(bands)])
@@ -87,12 +110,27 @@ def bucketed(rows: DataFrame, bands: int, bits: int) -> DataFrame:
 
 
 def alike(embed: Embedder, prints_of: list[str], side: np.ndarray, least: float) -> np.ndarray:
-    near = np.zeros((len(side), len(side)), bool)
-    for i in range(len(side)):
-        for j in range(i):
-            if not side.any() or side[i] != side[j]:
-                near[i, j] = near[j, i] = embed.likeness(prints_of[i], prints_of[j]) >= least
-    return near
+    """Which pairs have a likeness of ``least`` or more, as ``Embedder.likeness`` has it: a row of the matrix at a time, the
+    row's text being the longer one."""
+    n = np.array([int(p[:8], 16) for p in prints_of])
+    scale = np.array([scale_of(int(x)) for x in n])
+    bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(p[8:] for p in prints_of)), np.uint8)).reshape(len(n), 2, SAMPLES).astype(np.float32) * 2 - 1
+    out = np.zeros((len(n), len(n)), bool)
+    for i in range(len(n)):
+        for half in (0, 1):  # texts of the same scale, and of the one below
+            small = scale[i] >> half
+            other = np.flatnonzero((n <= n[i]) & (scale == small))
+            inside = int(np.searchsorted(embed.share * (2 * small), 2 * n[i]))
+            if len(other) and inside:
+                score = np.maximum(0, bits[other, 0, :inside] @ bits[i, half, :inside] / inside) * min(1.0, small / max(1, n[i]))
+                out[i, other[score >= least - 1e-6]] = True
+    same = np.array(prints_of)
+    out |= same[:, None] == same[None, :]
+    out |= out.T
+    if side.any():
+        out &= side[:, None] != side[None, :]
+    np.fill_diagonal(out, False)
+    return out
 
 
 def nominate(rows: DataFrame, least: float) -> DataFrame:
@@ -111,13 +149,13 @@ def verify(rows: DataFrame, least: float, threshold: float) -> DataFrame:
         embed = Embedder()
         for _, group in runs(batches, "_task"):
             ids, copies, texts = group["_set"].to_numpy(), group["_copies"].to_numpy(), group["_text"].to_pylist()
-            near = alike(embed, group["_print"].to_pylist(), group["_side"].to_numpy(), least)
-            for i, j in zip(*np.nonzero(np.tril(near))):
-                near[i, j] = near[j, i] = similarity(texts[i], texts[j]) >= threshold
-            links = near @ copies
+            linked = alike(embed, group["_print"].to_pylist(), group["_side"].to_numpy(), least)
+            for i, j in zip(*np.nonzero(np.tril(linked))):
+                linked[i, j] = linked[j, i] = near(texts[i], texts[j], threshold)
+            links = linked @ copies
             some = np.flatnonzero(links)
             if len(some):
-                a, b = stars(near, ids)
+                a, b = stars(linked, ids)
                 ends = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b, pa.int64())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], a])), ends, pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)]).astype(np.int64))], ["a", "b", "links"])
 
@@ -129,8 +167,9 @@ def edit_classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.9, l
     and links (other documents whose edit similarity is ``threshold`` or more; copies count).
 
     ``least`` is the likeness of fingerprints from which a pair is verified; a pair that no band brings together, directly
-    or through others, is missed. A null text is linked to nothing; empty texts are copies. Extra columns are not read;
-    an empty table gives an empty result.
+    or through others, is missed. A null text is linked to nothing; empty texts are copies; a very long one is compared
+    whole. Rows that repeat are copies; of ids the smallest names a class. Columns but doc_id and text are not read, so
+    they may have any name; an empty table gives an empty result.
     """
     byte_batches(spark)
     scratch = Scratch(spark, "edits")

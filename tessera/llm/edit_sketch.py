@@ -1,7 +1,7 @@
 """Document fingerprints by randomised edit embedding.
 
 A walk over the characters of a text emits the current character at every step and moves on to the next one when a
-random bit, shared by all texts and fixed by step and character, is set. Texts a few edits apart fall back into step
+random bit, shared by all texts and fixed by the step and one of ``CLASSES`` classes of characters, is set. Texts a few edits apart fall back into step
 after each edit, so that edit distance becomes Hamming distance between the emitted strings. A fingerprint is the
 number of characters and, at two scales, one hashed bit of the emitted string at each of ``SAMPLES`` fixed steps: the
 scale is the power of two from the length up, so texts of like length sample the same steps, and the scale below
@@ -145,9 +145,10 @@ def edit_fingerprints(spark: SparkSession, docs: DataFrame, segments: int | None
     """One row per document, with its own fingerprint and that of its edited text (see ``edited``), and the likeness of
     the former to the latter and to the next document's fingerprint.
 
-    The next document is that with the next smaller doc_id, after the last the first. Null texts are as empty ones.
-    Rows that repeat a doc_id follow each other by a hash of the text; null ids come last. Extra columns are not read;
-    an empty table gives an empty result; a single document is its own next one.
+    The next document is that with the next smaller doc_id, after the last the first. Null texts are as empty ones; very
+    long ones are walked whole. Rows that repeat a doc_id follow each other by a hash of the text (ties: equal rows), null
+    ids come last. Columns but doc_id and text are not read, so they may have any name; an empty table gives an empty
+    result; a single document is its own next one.
     """
     byte_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,11 +9,11 @@ false positives by the language's fill; the language with the largest count wins
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +21,7 @@ from .common import Scratch, held_out, byte_batches, spread, unit_hash
 
 SLOT_BITS, HASHES, WORD_BITS = 20, 3, 63
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")  # marks belong to the letters before them
 UNDETERMINED = "und"
 
 
@@ -107,9 +107,10 @@ def identify(
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from ``train`` (else ``docs``), from rows with a language that are not held out: about ``train_rows`` of each
-    language, chosen by a hash of the id. Null texts and texts without a letter are ``und`` with score 0, and so is
-    everything if there is nothing to learn from. A text of which no n-gram is known gets the first language by name,
-    with score 0. Repeated rows each give a row; extra columns are not read; an empty table gives an empty result.
+    language, chosen by a hash of the id. Null and empty texts and texts without a letter are ``und`` with score 0, and so
+    is everything if there is nothing to learn from; very long texts are read whole. A text of which no n-gram is known
+    gets the first language by name, with score 0; ties go to the smaller name. Repeated rows each give a row; other
+    columns are not read, so they may have any name; an empty table gives an empty result.
     """
     byte_batches(spark)
     langs, table, false = fit(spark, (docs if train is None else train).select("doc_id", "lang", "text"), Scratch(spark, "lang"), size, train_rows, keep, least)

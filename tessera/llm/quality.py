@@ -207,13 +207,14 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, train
     """One row per document: doc_id, held_out, score (of label 1) and predicted (1 from ``threshold`` on).
 
     Learns from ``train`` (else ``docs``) and ``labels``: about ``train_rows`` labelled documents that are not held out,
-    chosen by a hash of the id. Null texts are as empty ones, scored without features. With fewer than three rows of a
-    class every score is the smoothed share of label 1. Repeated rows each give a row; other columns are not read; an
-    empty table gives an empty result.
+    chosen by a hash of the id. Null texts are as empty ones, scored without features; very long ones are read whole. With
+    fewer than three rows of a class every score is the smoothed share of label 1. Repeated rows each give a row, and equal
+    texts the same score; other columns are not read, so they may have any name; an empty table gives an empty result.
     """
     return scored(spark, docs, labels, train, train_rows, threshold, False)
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, train_rows: int = 4000, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that ``score_quality`` predicts as 1, as they are."""
+    """The rows of ``docs`` that ``score_quality`` predicts as 1, as they are, with all their columns whatever their names;
+    odd rows are scored as there."""
     return scored(spark, docs, labels, train, train_rows, threshold, True).where("predicted = 1").select("_all.*")

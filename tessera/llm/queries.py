@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import read
+from .edit_join import edit_classes
 from .edit_sketch import edit_fingerprints
 from .jaccard import near_duplicates
 from .language import identify
@@ -54,6 +55,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(spark, read(spark, sf_dir, "documents"))
 
 
+def edit_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of op8's method: fingerprints banded by sampled bits, and verified by edit distance."""
+    return edit_classes(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = decide(spark, read(spark, sf_dir, "documents"), evener=0.5)
     return chosen.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 6).alias("mix_weight"), "mix_block", "mix_copies")
@@ -64,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_substring_dedup, op2_token_counts, op3_quality, op4_ngram_jaccard, op5_nearest_neighbours, op6_best_fit_packing, op7_language_id, op8_fingerprints, op9_mixing, op10_url_filter]
+    own = [edit_near_duplicates, op1_substring_dedup, op2_token_counts, op3_quality, op4_ngram_jaccard, op5_nearest_neighbours, op6_best_fit_packing, op7_language_id, op8_fingerprints, op9_mixing, op10_url_filter]
     return {f.__name__: f for f in own}
 
 

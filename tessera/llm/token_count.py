@@ -89,8 +89,9 @@ class Counter(dict):
 def token_counts(spark: SparkSession, docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id column and n_tokens (long).
 
-    A null or empty text has 0 tokens. Repeated rows each give a row, a null id stays null, extra columns are not read
-    and an empty table gives an empty result.
+    A null or empty text has 0 tokens; a very long one is counted whole, run by run between white space where the pieces
+    allow that. Repeated rows each give a row, a null id stays null, and an empty table gives an empty result. Columns but
+    the id and the text are not read, so they may have any name. Scores that tie go to the longest last piece.
     """
     byte_batches(spark)
     model_file = model_file or public_tokenizers.path("piece_bpe_32k.model")

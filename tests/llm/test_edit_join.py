@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.edit_join import edit_classes, edit_distance, similarity
+from tessera.llm.edit_join import alike, edit_classes, edit_distance, near, similarity
+from tessera.llm.edit_sketch import Embedder, code_points
 
 
 def plain(a, b):
@@ -21,6 +23,23 @@ def test_edit_distance(a, b):
     assert edit_distance(a, b) == plain(a, b)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=14), st.text("ab", max_size=14), st.sampled_from([0.5, 0.8, 0.9]))
+def test_near_is_the_similarity(a, b, threshold):
+    assert near(a, b, threshold) == (similarity(a, b) >= threshold - 1e-12)
+
+
+def test_alike_is_the_likeness_of_pairs():
+    rng, embed = random.Random(5), Embedder()
+    texts = ["", "a", "ab"] + ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 300))) for _ in range(40)]
+    texts += [t[: len(t) // 2] + "xyz" + t[len(t) // 2 :] for t in texts] + texts[:5]
+    prints = [embed.fingerprint(code_points(t), embed.walk(code_points(t))) for t in texts]
+    side = np.array([k % 2 for k in range(len(texts))])
+    for sides in (np.zeros(len(texts), int), side):
+        want = [[i != j and (not sides.any() or sides[i] != sides[j]) and embed.likeness(a, b) >= 0.2 - 1e-6 for j, b in enumerate(prints)] for i, a in enumerate(prints)]
+        assert alike(embed, prints, sides, 0.2).tolist() == want
+
+
 def test_classes_against_brute_force(spark):
     rng = random.Random(4)
     make = lambda n: "".join(rng.choice("etaoin shrdlucmfw") for _ in range(n))

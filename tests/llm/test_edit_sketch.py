@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm.edit_sketch import PERIOD, Embedder, code_points, edit_fingerprints, edited
+from tests.compare import connect, difference
 
 EMBED = Embedder()
 
@@ -77,3 +78,12 @@ def test_odd_tables(spark):
     out = edit_fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in out) == sorted((d or 0, len(t)) for d, t in rows)
     assert edit_fingerprints(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lengths_and_digests_as_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    sql = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    e AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS next FROM d WINDOW w AS (ORDER BY doc_id DESC))
+    SELECT doc_id, length(t) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 3) || substr(next, 1, length(t) // 3)) AS edited_sha256 FROM e"""
+    got = edit_fingerprints(spark, spark.read.parquet(f"{folder}/documents.parquet"))
+    assert difference(got.select("doc_id", "n_chars", "edited_sha256"), connect(folder), sql) == ""

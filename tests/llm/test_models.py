@@ -1,14 +1,17 @@
 """Quality and language: held-out accuracy, what they learn from, and odd rows."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from tessera.llm.common import held_out
 from tessera.llm.language import HASHES, SLOT_BITS, grams, identify, predict, slots
-from tessera.llm.quality import Indicators, descend, fit, log_ratios, score_quality, sigmoid
+from tessera.llm.quality import SLOT_BITS as SLOTS
+from tessera.llm.quality import Indicators, descend, fit, learn, log_ratios, score_quality, shape, sigmoid
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -66,6 +69,49 @@ def test_dual_coordinate_descent_solves_the_hinge_loss():
     assert loss(np.append(w, b)) <= best * 1.01
 
 
+def plain_slots(text):
+    """The slots of a text's n-grams, one at a time."""
+    def slot(gram, salt):
+        g = (gram ^ (0x9E3779B1 * salt & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+        return ((g ^ g >> 15) * 0xC2B2AE35 & 0xFFFFFFFF) >> 32 - SLOTS
+
+    raw, out = (text or "").encode(), set()
+    for size in (1, 2, 3, 4):
+        for k in range(len(raw) - size + 1):
+            out.add(slot(int.from_bytes(raw[k : k + size], "little"), size))
+    words = (text or "").split()
+    signs = [shape(w) + 16 * (k > 0 and words[k - 1] == w) + 1 for k, w in enumerate(words)]
+    for size in (1, 2, 3):
+        for k in range(len(signs) - size + 1):
+            out.add(slot(sum(s << 6 * j for j, s in enumerate(signs[k : k + size])), 10 + size))
+    if words:
+        out.add(slot(len(words).bit_length(), 20))
+    return out
+
+
+def test_scores_by_brute_force(spark):
+    """Counts, ratios, margins and scores over sets and dictionaries, against the query's; only the fit itself, which has a
+    test of its own, is shared."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    slots_of = {d: plain_slots(t) for d, t in texts.items()}
+    model = learn(spark, docs.select("doc_id", "text"), labels, 4000)
+    good, bad = ([d for d, q in known.items() if q == x and d in texts] for x in (1, 0))
+    ratio = {}
+    for s in set().union(*slots_of.values()):
+        p, q = ((1 + sum(s in slots_of[d] for d in own)) / (len(own) + 2) for own in (good, bad))
+        ratio[s] = math.log(p / q)
+    assert all(abs(math.sqrt(model.squares[s]) - abs(r)) < 1e-4 for s, r in ratio.items())
+    weight = {s: float(model.weights[s]) / r if abs(r) > 1e-9 else 0.0 for s, r in ratio.items()}
+    for r in score_quality(spark, docs, labels).collect():
+        own = slots_of[r.doc_id]
+        length = math.sqrt(sum(ratio[s] ** 2 for s in own))
+        margin = sum(weight[s] * ratio[s] / length for s in own) + model.bias if length else model.bias
+        want = 1 / (1 + math.exp(-(model.slope * margin + model.shift)))
+        assert abs(r.score - want) < 1e-4 and r.predicted == (r.score >= 0.7)
+
+
 def test_sigmoid_and_ratios():
     slope, shift = sigmoid(np.array([-2.0, -1, 1, 2] * 20), np.array([-1, -1, 1, 1] * 20))
     assert slope > 0 and abs(shift) < 0.2
@@ -99,6 +145,32 @@ def test_language_odd_rows(spark):
     assert identify(spark, docs.limit(0)).count() == 0
 
 
+def test_languages_by_brute_force(spark):
+    """Exact counts of exact n-grams, without a filter: the same language wins."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    counts: dict[str, Counter] = {}
+    for r in docs:  # fewer rows a language than are sampled, so all are learned from
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text, 4).tolist())
+    rate = {k: {g: n / c.total() for g, n in c.items() if n >= 2} for k, c in counts.items()}
+    best: dict[int, float] = {}
+    for own in rate.values():
+        for g, x in own.items():
+            best[g] = max(best.get(g, 0.0), x)
+    member = {k: {g for g, x in own.items() if x >= 0.25 * best[g]} for k, own in rate.items()}
+    got = {r.doc_id: r for r in identify(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), train_rows=10_000).collect()}
+    odd = 0
+    for r in docs:
+        h = grams(r.text, 4).tolist()
+        if not h:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        hits = {k: sum(g in own for g in h) for k, own in member.items()}
+        odd += got[r.doc_id].lang_pred != max(sorted(hits), key=hits.get)
+        assert abs(got[r.doc_id].score - max(hits.values()) / max(1, sum(hits.values()))) < 0.05
+    assert odd <= 1
+
+
 @pytest.mark.parametrize("langs", [2, 70])
 def test_filter_never_misses_and_counts_are_corrected(langs):
     """Against exact sets of n-grams, with one and with two mask words."""

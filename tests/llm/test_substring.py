@@ -74,6 +74,67 @@ def test_passages_go_and_clean_texts_stay(spark):
     assert all(out[d].text == t for d, t in clean.items())
 
 
+def check_against_windows(old, new, short=24, long=400):
+    """Every byte taken out lies in a run of ``short`` bytes that an earlier text (or place) has too; what is left of a text
+    shares no run of ``long`` bytes with any earlier text. All runs of all texts, by brute force."""
+    seen_short, seen_long = set(), {}
+    for d in sorted(old):
+        a = (old[d] or "").encode()
+        for k in range(max(0, len(a) - long + 1)):
+            seen_long.setdefault(hash(a[k : k + long]), d)
+    for d in sorted(old):
+        a, b = (old[d] or "").encode(), (new[d] or "").encode()
+        own = {a[k : k + short] for k in range(max(0, len(a) - short + 1))}
+        if a == b:
+            seen_short |= own
+        else:
+            twice = {}
+            for k in range(len(a) - short + 1):
+                twice.setdefault(a[k : k + short], k)
+            covered = [False] * len(a)
+            for k in range(len(a) - short + 1):
+                if a[k : k + short] in seen_short or twice[a[k : k + short]] < k:
+                    covered[k : k + short] = [True] * short
+            # what stays must hold every byte that is in no repeated run, in order
+            at = 0
+            for x, c in zip(a, covered):
+                if not c:
+                    at = b.find(bytes([x]), at) + 1
+                    assert at > 0, d
+            seen_short |= own
+        for k in range(max(0, len(b) - long + 1)):
+            first = seen_long.get(hash(b[k : k + long]))
+            assert first is None or first >= d, (d, first, b[k : k + long])
+
+
+def test_brute_force_over_all_runs(spark):
+    """Texts of words, of Thai letters, of hexadecimal and of base64 digits that share passages at odd places."""
+    rng = random.Random(21)
+    digits = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    thai, base64 = "".join(map(chr, range(0xE01, 0xE2F))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    makers = [lambda n: text_of(rng, n // 6), lambda n: digits(thai, n // 3), lambda n: digits("0123456789abcdef", n), lambda n: digits(base64, n)]
+    old = {}
+    for k, make in enumerate(makers):
+        passages = [make(900 + 300 * j) for j in range(3)]
+        for j in range(12):
+            parts = [make(rng.randrange(200, 900)), rng.choice(passages), make(rng.randrange(1, 400)), rng.choice(passages), make(rng.randrange(100, 300))]
+            old[100 * k + j] = (" " if k == 0 else "").join(parts[: rng.randrange(3, 6)])
+    new = {r.doc_id: r.text for r in dedupe_passages(spark, spark.createDataFrame(list(old.items()), "doc_id long, text string")).collect()}
+    assert sum(len(old[d]) - len(new[d]) for d in old) > 12_000
+    check_against_windows(old, new)
+
+
+def test_an_insertion_moves_no_cut_but_those_beside_it():
+    rng = random.Random(22)
+    thai, base64 = "".join(map(chr, range(0xE01, 0xE2F))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for letters in (thai, "0123456789abcdef", base64, "abcdefgh "):
+        text = "".join(rng.choice(letters) for _ in range(8000))
+        at = rng.randrange(3000, 5000)
+        a, b = raw_of(text), raw_of(text[:at] + "x" + text[at:])
+        own = [{r[s:e].tobytes() for s, e in zip(*chunks(r))} for r in (a, b)]
+        assert len(own[0] - own[1]) <= 4 and len(own[0]) > 25
+
+
 def test_odd_rows(spark):
     long = text_of(random.Random(4), 100)
     rows = [(1, None), (2, ""), (3, long), (3, long), (4, long), (None, long), (5, (text_of(random.Random(9), 90) + " ") * 2)]
