@@ -20,6 +20,8 @@ def on_keys(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> Column:
 
 
 def join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, how: str = "inner") -> DataFrame:
+    """All pairs of rows whose keys meet. Keys that are no whole numbers meet as text, null with null too, so where both
+    sides have many nulls the result itself has a row for each pair; adaptive execution splits such a key."""
     return left.join(right, on_keys(left, lcol, right, rcol), {"full": "full_outer"}.get(how, how))
 
 

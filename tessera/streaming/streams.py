@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,30 @@ def advance(state: tuple, seconds: float, limit: int, lowered: int, width: float
 EMPTY = (0, None, None, 0, False, False)
 
 
+def advance_all(state: tuple, times: np.ndarray, limit: int, lowered: int, width: float) -> tuple:
+    """``advance`` over requests in order, a window at a time: where it ends is found by binary search, and what its requests
+    do to the state follows from how many they are."""
+    n, seen, start, inside, suspicious, blocked = state
+    at = 0
+    while at < len(times):
+        if start is None or times[at] - start >= width:
+            start, inside = float(times[at]), 0
+        end = max(at + 1, int(np.searchsorted(times, start + width)))
+        while end < len(times) and times[end] - start < width:  # where the sum was rounded
+            end += 1
+        while end > at + 1 and times[end - 1] - start >= width:
+            end -= 1
+        last = inside + end - at
+        if suspicious:
+            blocked = last > lowered
+        else:
+            crossed = max(limit, inside) + 1  # the request that is the first over the limit
+            suspicious = last >= crossed
+            blocked = suspicious and (last == crossed or last > lowered)
+        inside, at = last, end
+    return (n + len(times), float(times[-1]), start, inside, suspicious, blocked) if len(times) else state
+
+
 def pruned(states: DataFrame, now: Column | float, idle: float) -> DataFrame:
     """Client states that were seen in the last ``idle`` seconds."""
     return states.where(F.col("last_seen") >= F.lit(now) - F.lit(idle))
@@ -102,24 +127,20 @@ def clients(events: DataFrame, client: str, when: str, limit: int, lowered: int,
     timer of each state."""
     rows = events.select(F.col(client).cast("long").alias("client"), (F.unix_micros(F.col(when).cast("timestamp")) / 1e6).alias("t"))
 
-    def run(t: pd.Series, state: tuple) -> tuple:
-        for s in sorted(t):
-            state = advance(state, s, limit, lowered, width)
-        return state
-
     names = [f.split()[0] for f in CLIENT.split(", ")]
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come by client and time; only one client's state is held, however many events it has."""
+        """Rows come by client and time; a batch and one client's state are held, however many events it has."""
         now, state = None, EMPTY
         for pdf in frames:
-            out = []
-            for c, t in zip(pdf["client"].tolist(), pdf["t"].tolist()):
-                if c != now:
+            out, c, t = [], pdf["client"].to_numpy(), pdf["t"].to_numpy()
+            edges = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+            for low, high in zip(edges, edges[1:]) if len(c) else ():
+                if c[low] != now:
                     if now is not None:
                         out.append((now, *state))
-                    now, state = c, EMPTY
-                state = advance(state, t, limit, lowered, width)
+                    now, state = int(c[low]), EMPTY
+                state = advance_all(state, t[low:high], limit, lowered, width)
             if out:
                 yield pd.DataFrame(out, columns=names)
         if now is not None:
@@ -137,7 +158,7 @@ def clients(events: DataFrame, client: str, when: str, limit: int, lowered: int,
             state.remove()
             return
         now = state.get if state.exists else EMPTY
-        now = run(pd.concat([p["t"] for p in parts]), now)
+        now = advance_all(now, np.sort(np.concatenate([p["t"].to_numpy() for p in parts])), limit, lowered, width)
         state.update(now)
         if idle:
             state.setTimeoutDuration(idle)

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from tessera.operators.changes import entries, maintain
@@ -64,6 +67,18 @@ def test_late_commits_bring_nothing_back(spark):
     assert sorted((r.value, r.id) for r in entries(index, "k", "v", "op").collect()) == [("b", 2), ("c", 3)]
 
 
+@settings(max_examples=500, deadline=None)
+@given(st_.lists(st_.integers(0, 60), max_size=40), st_.integers(1, 5), st_.integers(1, 5), st_.integers(1, 20), st_.integers(0, 40))
+def test_windows_at_a_time_equal_requests_at_a_time(times, limit, lowered, width, cut):
+    """In one piece or in two, whatever the limits."""
+    t = np.sort(np.array(times, float)) / 8
+    want = st.EMPTY
+    for x in t.tolist():
+        want = st.advance(want, x, limit, lowered, width / 8)
+    assert st.advance_all(st.EMPTY, t, limit, lowered, width / 8) == want
+    assert st.advance_all(st.advance_all(st.EMPTY, t[:cut], limit, lowered, width / 8), t[cut:], limit, lowered, width / 8) == want
+
+
 def test_idle_clients_go(spark):
     events = spark.read.parquet(f"{FOLDER}/events.parquet")
     whole = {r.client: r.last_seen for r in st.clients(events, "user_id", "ts", 2, 1, 3600.0).collect()}
