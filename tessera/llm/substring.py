@@ -6,8 +6,8 @@ characters; only what it leaves longer than ``LONGEST`` is cut by length. Cuts d
 no cut but those beside it, and a passage that occurs twice has the same chunks inside both times. Chunks are known by a 64-bit digest. The document with the smallest
 doc_id that holds a chunk owns it; elsewhere, and after its first place in a document, the chunk is a repeat. Runs of
 neighbouring repeats are extended byte by byte as far as the text agrees with the owner's, and those of at least
-``least_bytes`` are taken out; each byte taken out has an equal one in an earlier place. Shorter ones (a common phrase, a licence line)
-stay, which also keeps a chance collision of digests from doing harm.
+``least_bytes`` are taken out, 51 words of three letters; each byte taken out has an equal one in an earlier place.
+Shorter ones (a common phrase, a licence line) stay, which also keeps a chance collision of digests from doing harm.
 
 Chunk counts are summed before they are shuffled, owners are found by an aggregate and not by sorting a chunk's
 occurrences, and only shared chunks are joined back, so a chunk that a third of all documents hold costs no task more.
@@ -192,7 +192,7 @@ def without(text: str, ends_of_runs: list[dict], least: int) -> tuple[str, list[
     return b"".join([*kept, raw[upto:]]).decode(), gone, len(starts)
 
 
-def dedupe_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 120) -> DataFrame:
+def dedupe_passages(spark: SparkSession, docs: DataFrame, least_bytes: int = 200) -> DataFrame:
     """All rows and columns of ``docs`` (but any with one of our names) with the shortened text, and sub_chunks, sub_removed (characters taken out) and
     sub_spans (start and end in the bytes of the old text).
 
