@@ -108,7 +108,9 @@ def log_ratios(docs: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np
 
 
 def descend(docs: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: float, epochs: int, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss: each step solves one document's multiplier, kept in [0, its cost]."""
+    """Dual coordinate descent for the hinge loss: each step solves one document's multiplier, kept in [0, its cost].
+
+    It ends when no multiplier moves by a thousandth any more, or after so many passes."""
     w, bias = np.zeros(len(ratios)), 0.0
     values = [(r := ratios[d]) / (np.sqrt((r * r).sum()) or 1.0) for d in docs]
     square = [float((v * v).sum()) + 1.0 for v in values]  # 1 for the bias
@@ -148,7 +150,7 @@ def sigmoid(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(c[0]), float(c[1])
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 12, folds: int = 3) -> Model:
+def fit(docs: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 40, folds: int = 3) -> Model:
     """Without both classes the model knows only the smoothed share of label 1."""
     y = np.where(labels > 0, 1, -1)
     pos, neg = int((y > 0).sum()), int((y < 0).sum())
