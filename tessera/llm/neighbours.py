@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, byte_batches, runs
 
-LEAF, HOME, ENTRIES = 160, 1024, 64
+LEAF, HOME, ENTRIES = 160, 128, 64
 #: Neighbourhoods compared at once, and queries of one task.
-GROUPS, QUERIES = 64, 64
+GROUPS, QUERIES = 64, 8
 EDGE = "u long, uh int, v long, vh int, s float, fresh boolean"
 #: Edges, and for each node a row without v that has its vector and the last similarity of a full list.
 GRAPH = f"{EDGE}, worst float, unit binary"
@@ -280,7 +280,7 @@ def to_entries(rows: DataFrame, entries: tuple[np.ndarray, np.ndarray, np.ndarra
 def descend(nodes: DataFrame, count: int, entries: tuple[np.ndarray, np.ndarray, np.ndarray], scratch: Scratch, degree: int, trees: int, rounds: int, still: float) -> DataFrame:
     """The neighbour graph: NN-descent until less than ``still`` of all edges are new after a round, or for so many rounds."""
     spread_out = scratch.save(leaves(nodes, count, trees), "leaves")
-    first = first_graph(blocks(spread_out, scratch, "leaf-sizes", 51), degree)
+    first = first_graph(blocks(spread_out, scratch, "leaf-sizes", 51), math.ceil(degree / 2))  # of each tree
     graph = scratch.save(keep_best(as_edges(first).unionByName(as_nodes(nodes)), degree), "graph0")
     scratch.drop("leaves")
     lone = graph.where((F.col("v").isNull()) & (F.col("worst") == float(OPEN)))
