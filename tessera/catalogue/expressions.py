@@ -164,7 +164,7 @@ def _(s, d):
     return load(s, d, "region").select("r_regionkey", F.array(*map(F.lit, scripts)).alias("scripts"))
 
 
-@query("udf_scalar", "SELECT n_name, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM nation")
+@query("udf_scalar", "SELECT n_name, CAST(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(n_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS BIGINT) AS h FROM nation")
 def _(s, d):
     register(s)
     return s.sql("SELECT n_name, fnv1a_32(n_name) AS h FROM {t}", t=load(s, d, "nation"))

@@ -214,7 +214,7 @@ class Compiler:
         raise ValueError(f"unknown function {n.what!r}")
 
 
-#: What the functions are called in a page's script; lookups are calls that a page awaits.
+#: What the functions are called in a page's script; lookups are calls that a page awaits.
 SCRIPT_NAMES = {"round": "roundNumber", "min": "Math.min", "max": "Math.max", "abs": "Math.abs", "relatedlookup": "await relatedLookup", "querylookup": "await queryLookup", "lookupmultilevel": "await queryLookup"}
 
 

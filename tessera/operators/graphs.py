@@ -21,9 +21,9 @@ def reverse_neighbours(edges: DataFrame, node: object, kind: str | None = None)
 def traverse(edges: DataFrame, start: DataFrame, hops: int, kind: str | None = None) -> DataFrame:
     """node, depth: all nodes within ``hops`` of the start nodes, which are at 0.
 
-    Each hop joins only the newest nodes and is written before the next, and an empty hop is the last."""
-    edges = edges.where(F.col("kind") == kind) if kind else edges
-    links = edges.select("src", "dst").distinct()
+    Each hop joins only the newest nodes and is written before the next, and an empty hop is the last. Edges that repeat
+    cost nothing more than their rows, since what they reach is made distinct."""
+    links = (edges.where(F.col("kind") == kind) if kind else edges).select("src", "dst")
     seen = front = settle(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
         reached = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()

@@ -126,3 +126,21 @@ def test_spatial(spark):
     assert {r.k for r in spatial.by_token(df, "0,0,10").collect()} == {4}
     with pytest.raises(ValueError):
         spatial.parse_token("1,2")
+
+
+@pytest.mark.parametrize("master, fine", [("local[4]", True), ("local", True), ("local-cluster[2,1,512]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_scratch_is_shared_or_an_error(master, fine):
+    """Only a single machine may do without a folder that all executors share."""
+    from types import SimpleNamespace
+
+    from tessera.sources.scratch import shared
+
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    if fine:
+        assert "tessera" in shared(session)
+    else:
+        with pytest.raises(ValueError):
+            shared(session)
+    context.getCheckpointDir = lambda: "hdfs://shared/checkpoints"
+    assert shared(session) == "hdfs://shared/checkpoints"
