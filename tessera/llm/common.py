@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.sources.scratch import shared
 
 #: Bytes of one Arrow batch, unless the session sets its own; documents may be long, so a count of rows bounds nothing.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
