@@ -4,7 +4,6 @@ from pyspark.sql import types as T
 
 from tessera.operators import changes as ch
 from tessera.operators import graphs, joins, search, spatial
-from tessera.operators.filters import Clause
 from tessera.plans.entities import Catalog, Entity, sample_catalog
 from tessera.plans.explain import History
 from tessera.plans.report import Report, from_definition, with_parameters
