@@ -1,10 +1,16 @@
-"""Near texts by edit distance: fingerprints banded on sampled bits, then verified exactly.
-
-Each text enters, at each of its two scales, ``bands`` buckets, each named by ``bits`` bits at fixed random places of the
-fingerprint. Texts that share a bucket and whose fingerprints are alike enough are nominated; nominated texts are joined
-to components, and inside a component every pair whose fingerprints are alike enough is verified by its true edit
-distance (bit-parallel, on whole texts). Equal texts are one throughout. Large buckets and components are compared in
-pairs of blocks, and pairs never leave a task.
+"""Near texts by edit distance: bands of windows of the random walk, then verified exactly.
+
+The walk of ``edit_sketch`` is made over a text's first half from its beginning and over its second half from its end, and
+sampled at fixed steps, whose distances grow with the step. A sample is not one character but the ``width`` characters that
+begin where the walk stands: two texts agree in it only if their walks are in step there, so unlike texts hardly ever agree.
+Where text has moved further than a walk catches up with, neither helps; so walks also begin anew at ``marks`` places of the
+text's own choosing, those with the smallest hash of the following characters in each of as many classes of hashes.
+Each second sample and each eighth mark is a band. Texts of like length that share a band and, from ``LONG`` characters on,
+have equal marks in ``least`` of the text's eighths are nominated: one that only shares a passage has them in fewer.
+
+Nominated texts are joined to components, and inside a component all such pairs are verified by their true edit distance
+(bit-parallel, on whole texts, one against many at a time). Equal texts are one throughout. Large buckets and components
+are cut by length, compared in pairs of blocks, and pairs never leave a task.
 """
 
 from __future__ import annotations
@@ -14,13 +20,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, runs, byte_batches, spread, text_key
 from .edit_sketch import SAMPLES, Embedder, code_points, scale_of
 from .graph import components, stars
-from .jaccard import in_blocks, spread_tasks
+from .jaccard import in_size_classes
+
+#: Texts of fewer characters are nominated by any band; a walk's samples in each doubling of the step.
+LONG, PER_DOUBLING, MARKS, PARTS = 256, 6, 128, 8
+#: Of windows: characters, the lengths of the texts that have them, the steps they reach, marks. A pair of short texts at 0.9
+#: may have no 12 characters in a row in common, and texts of fewer than 10 none but equal ones.
+KINDS = ((12, 65, 1 << 62, 1 << 22, MARKS), (5, 10, 72, 1 << 7, MARKS // 2))
+#: Bits that one text is compared with at a time.
+AT_ONCE = 1 << 18
+#: Longer texts are compared in a band about the diagonal, one with one.
+BANDED = 4096
+#: Larger buckets are compared in blocks, the others' pairs on their own.
+SMALL = 8
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -70,43 +88,232 @@ def near(a: str, b: str, threshold: float) -> bool:
     return 1 - edit_distance(a[: len(a) - k], b[: len(b) - k]) / longest >= threshold - 1e-12
 
 
-def band_places(bands: int, bits: int) -> np.ndarray:
-    rng = np.random.default_rng(80)
-    return np.stack([rng.choice(SAMPLES, bits, replace=False) for _ in range(bands)])
+def distances(b: str, many: list[str], most: np.ndarray) -> np.ndarray:
+    """Edit distances of ``b`` to each of ``many``, as ``edit_distance`` has them; where one is over ``most``, that or any
+    other number over it. The bit vectors of all lie in one, with a bit between them that carries end in."""
+    if len(many) == 1:
+        a = many[0]
+        k = common(a, b)
+        a, c = a[k:], b[k:]
+        k = common(a[::-1], c[::-1])
+        a, c = a[: len(a) - k], c[: len(c) - k]
+        if min(len(a), len(c)) < 64:
+            return np.array([edit_distance(a, c)])
+        return np.array([_in_band(a, c, int(most[0]))]) if max(len(a), len(c)) > BANDED else _distances(c, [a], most)
+    return _distances(b, many, most)
+
+
+def shown(a: str, b: str, most: int, width: int = 12) -> int:
+    """Edits of one way to turn ``a`` into ``b``, so the distance or more: runs that both have go on as far as they do, and
+    the next one begins with the next ``width`` characters that are found again. A number over ``most`` if none is that cheap."""
+    i = j = total = 0
+    while total <= most:
+        step = 32
+        while (k := common(a[i : i + step], b[j : j + step])) == step:
+            i, j, step = i + step, j + step, 2 * step
+        i, j = i + k, j + k
+        if i == len(a) or j == len(b):
+            return total + len(a) - i + len(b) - j
+        for reach, span in ((64, 64), (most - total + 1, most - total)):
+            for skip in range(min(reach, len(a) - width - i + 1)):
+                at = b.find(a[i + skip : i + skip + width], j, j + skip + span + width)
+                if at >= 0:
+                    break
+            else:
+                continue
+            break
+        else:
+            return total + (edit_distance(a[i:], b[j:]) if len(a) - i <= 4 * width + most // 8 and len(b) - j <= 4 * width + most // 8 else most + 1)
+        total += edit_distance(a[i : i + skip], b[j:at])
+        i, j = i + skip, at
+    return total
+
+
+def _in_band(a: str, b: str, most: int) -> int:
+    """The edit distance if it is ``most`` or less, else a larger number: of the matrix only the diagonals that far from the
+    main one. The vectors move down by a row with each column; the score is that of the lowest diagonal, then of the last row."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most or len(a) <= most:
+        return most + 1 if len(a) > most else edit_distance(a, b)
+    full, top = (1 << (2 * most + 1)) - 1, 1 << 2 * most
+    up, down, score, row, codes = full ^ ((1 << most) - 1), 0, most, top >> 1, code_points(a)
+    chunk = max(2048, 2 * most)
+    for j, c in enumerate(b):
+        if j % chunk == 0:
+            if score > 2 * most + len(b) - len(a):
+                return most + 1
+            low = j - most
+            part = codes[max(0, low) : j + chunk + most + 1]
+            where = {x: _number(part == ord(x)) << max(0, -low) for x in set(b[j : j + chunk])}  # the band's part of the text
+        match = where[c] >> (j % chunk) & full
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        right, left = down | (full & ~(diagonal | up)), up & diagonal
+        if j < len(a) - most:
+            score += not diagonal & top
+        else:
+            score += bool(right & row) - bool(left & row)
+            row >>= 1
+        diagonal >>= 1
+        up, down = left | (full & ~(diagonal | right)), diagonal & right
+    return score
+
+
+def _number(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def _distances(b: str, many: list[str], most: np.ndarray) -> np.ndarray:
+    size = np.array([len(a) for a in many])
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    codes = np.full(begin[-1], 0x110000, np.uint32)
+    for at, a in zip(begin, many):
+        codes[at : at + len(a)] = code_points(a)
+    bits = np.ones(len(codes), bool)
+    bits[begin[1:] - 1] = False
+    whole, firsts = _number(bits), np.zeros(len(codes), bool)
+    firsts[begin[:-1]] = True
+    first = _number(firsts & bits)
+    where = {c: _number(codes == ord(c)) for c in set(b)}
+
+    def steps(up: int, down: int) -> np.ndarray:
+        get = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(len(codes) // 8 + 1, "little"), np.uint8), bitorder="little", count=len(codes)).astype(np.int32)
+        return get(up) - get(down)
+
+    up, down, look = whole, 0, min(len(b), 2 * int(most.max()) + 8)
+    for j, c in enumerate(b, 1):
+        match = where[c]
+        diagonal = (((match & up) + up) ^ up) | match | down
+        right, left = down | (whole & ~(diagonal | up)), up & diagonal
+        right, left = (right << 1 | first) & whole, left << 1 & whole
+        up, down = left | (whole & ~(diagonal | right)), right & diagonal
+        if j == look and j < len(b):  # what a column and the way that is left cost at least
+            sums = np.concatenate([[0], np.cumsum(steps(up, down))])
+            row = np.arange(len(codes)) - np.repeat(begin[:-1], size + 1)
+            at = sums[:-1] - np.repeat(sums[begin[:-1]], size + 1) + j
+            bound = np.minimum.reduceat(at + np.abs(np.repeat(size, size + 1) - row - (len(b) - j)), begin[:-1])
+            alive = np.flatnonzero(bound <= most)
+            if len(alive) <= len(many) // 2:
+                if len(alive):
+                    bound[alive] = _distances(b, [many[k] for k in alive], most[alive])
+                return bound
+    sums = np.concatenate([[0], np.cumsum(steps(up, down))])
+    return len(b) + sums[begin[1:]] - sums[begin[:-1]]
+
+
+def linked_of(texts: list[str], asked: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs asked for are near. A text's distances to two others bound the distance of those."""
+    size = np.array([len(t) for t in texts], np.int64)
+    most = np.floor((1 - threshold) * np.maximum(1, np.maximum(size[:, None], size[None, :])) + 1e-9).astype(np.int64)
+    like = np.abs(size[:, None] - size[None, :]) <= most
+    wait = asked & like
+    out = np.zeros_like(wait)
+    count, known, far, gain = wait.sum(axis=1), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for turn in range(len(texts)):
+        if not count.any():
+            break
+        # of a text's many copies the one that all were made from is nearest to any of them, and bounds the most
+        at = np.flatnonzero(count[known])
+        i = int(known[at[far[at].argmin()]]) if len(at) else int(count.argmax())
+        other = np.flatnonzero(wait[i] | (like[i] & (count > 0)) if turn < 3 or gain > 0 else wait[i])
+        other = other[other != i]
+        per = max(1, AT_ONCE // (int(size[other].max()) + 1))
+        if size[i] > BANDED:  # a bound that is low enough will do
+            far = np.array([shown(texts[i], texts[j], int(most[i, j])) for j in other], np.int64)
+            rest = np.flatnonzero(far > most[i, other])
+            far[rest] = [distances(texts[i], [texts[other[k]]], most[i, other[k : k + 1]])[0] for k in rest]
+        else:
+            far = np.concatenate([distances(texts[i], [texts[j] for j in other[k : k + per]], most[i, other[k : k + per]]) for k in range(0, len(other), per)])
+        gain = -len(other)
+        met = far <= most[i, other]
+        out[i, other] |= wait[i, other] & met
+        out[other, i] = out[i, other]
+        wait[i] = wait[:, i] = False
+        known, far = other[met], far[met]
+        both = np.ix_(known, known)
+        sure, sums, gaps = wait[both], far[:, None] + far[None, :], np.abs(far[:, None] - far[None, :])
+        out[both] |= sure & (sums <= most[both])
+        wait[both] &= (sums > most[both]) & ((gaps <= most[both]) | (size[i] > BANDED))
+        gain += int(sure.sum() - wait[both].sum()) // 2
+        count = wait.sum(axis=1)
+    return out
+
+
+class Windows:
+    """A text's bands, and its length, marks and the eighths of the text that they stand in."""
+
+    def __init__(self) -> None:
+        self.embed = Embedder()
+        self.steps = []
+        for *_, reach, _ in KINDS:
+            all_ = np.unique(np.round(PER_DOUBLING * (2.0 ** (np.arange(32 * PER_DOUBLING) / PER_DOUBLING) - 1)).astype(np.int64))
+            self.steps.append(all_[all_ < reach])
+
+    @staticmethod
+    def grams(codes: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of all ``width`` characters in a row, from hashes of one, two, four and so on."""
+        out, done, power, h = None, 0, 1, codes.astype(np.uint64) + np.uint64(1)
+        while True:
+            if width & power:
+                out = h if out is None else Windows._joined(h, out, power)
+                done += power
+            if done == width:
+                out = out * np.uint64(0xC2B2AE3D27D4EB4F)
+                return out ^ out >> np.uint64(31)
+            h, power = Windows._joined(h, h, power), 2 * power
+
+    @staticmethod
+    def _joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+        n = min(len(a), len(b) - by)
+        x = (a[:n] * np.uint64(0x9E3779B97F4A7C15) ^ b[by : by + n]) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ x >> np.uint64(32)
+
+    def of(self, text: str) -> tuple[np.ndarray, bytes]:
+        codes = code_points(text)
+        n, half, bands = len(codes), (len(codes) + 1) // 2, []
+        values, parts = np.zeros(MARKS, np.uint16), np.zeros(MARKS, np.uint8)
+        ends = [self.embed.walk(codes[:half]), self.embed.walk(codes[half:][::-1])] if n >= KINDS[1][1] else []
+        for kind, (width, low, high, _, marks) in enumerate(KINDS):
+            if not low <= n <= high:
+                continue
+            g = self.grams(codes, width)
+            for back, reached in enumerate(ends):
+                own = np.flatnonzero(self.steps[kind] < reached[-1])[::2]
+                at = np.searchsorted(reached, self.steps[kind][own], "right") - 1
+                at = n - width - at if back else at
+                inside = (at >= 0) & (at < len(g))
+                bands.append(g[at[inside]] ^ _mixed(own[inside] * 8 + kind * 4 + back))
+            classes = (g >> np.uint64(65 - marks.bit_length())).astype(np.int64)
+            least = np.full(marks, np.iinfo(np.uint64).max)
+            np.minimum.at(least, classes, g)
+            at = np.flatnonzero(g == least[classes])[::-1]  # so that of equal windows the first one's place stays
+            of = np.unique(classes[at])
+            bands.append((least[of] ^ _mixed(of * 8 + kind * 4 + 2))[of % 8 == 0])
+            if not kind:
+                values[of] = (least[of] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+                parts[classes[at]] = at * PARTS // len(g)
+        return np.concatenate(bands) if bands else np.zeros(0, np.uint64), n.to_bytes(4, "big") + values.tobytes() + parts.tobytes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def prints(docs: DataFrame) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = Embedder()
+        windows = Windows()
         for b in batches:
-            keys, out = [], []
+            keys, bands, out = [], [], []
             for t in b.column(2):
                 text = t.as_py()
-                codes = None if text is None else code_points(text)
+                own, told = (None, None) if text is None else windows.of(text)
                 keys.append(None if text is None else xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
-                out.append(None if text is None else embed.fingerprint(codes, embed.walk(codes)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["doc_id", "_row", "_set", "_print"])
+                bands.append(None if text is None else own.view(np.int64))
+                out.append(told)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(out, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "_row", "_set", "_print", "_bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_key("doc_id", "text"), F.col("text").cast("string"))
-    return spread(rows).mapInArrow(work, "doc_id long, _row long, _set long, _print string")
-
-
-def bucketed(rows: DataFrame, bands: int, bits: int) -> DataFrame:
-    places = band_places(bands, bits)
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets, paths = [], []
-            for key, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                scale = scale_of(int(p[:8], 16))
-                both = np.unpackbits(np.frombuffer(bytes.fromhex(p[8:]), np.uint8)).reshape(2, SAMPLES)
-                for s, own in ((scale, both[0]), (scale // 2, both[1])):
-                    for k, at in enumerate(places):
-                        sets.append(key)
-                        paths.append(xxhash.xxh3_64_intdigest(f"{s}.{k}.".encode() + own[at].tobytes()) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(paths, pa.int64())], ["_set", "_path"])
-
-    return rows.select("_set", "_print").mapInArrow(work, "_set long, _path long")
+    return spread(rows).mapInArrow(work, "doc_id long, _row long, _set long, _print binary, _bands array<long>")
 
 
 def alike(embed: Embedder, prints_of: list[str], side: np.ndarray, least: float) -> np.ndarray:
@@ -133,25 +340,87 @@ def alike(embed: Embedder, prints_of: list[str], side: np.ndarray, least: float)
     return out
 
 
-def nominate(rows: DataFrame, least: float) -> DataFrame:
+def _parsed(prints_of: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(prints_of), np.uint8).reshape(len(prints_of), 4 + 3 * MARKS)
+    n = np.ascontiguousarray(raw[:, :4]).view(">i4")[:, 0].astype(np.int64)
+    return n, np.ascontiguousarray(raw[:, 4 : 4 + 2 * MARKS]).view(np.uint16), raw[:, 4 + 2 * MARKS :]
+
+
+def fitting(prints_of: list[bytes], side: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """Which pairs are of like length and, if both are long, have equal marks in ``least`` of the longer text's eighths."""
+    n, values, parts = _parsed(prints_of)
+    order = np.argsort(n, kind="stable")
+    n, values, parts, side = n[order], values[order], parts[order], side[order]
+    first = np.searchsorted(n, n - (1 - threshold) * np.maximum(1, n) - 1e-9)
+    sought = np.where(values > 0, values, np.uint16(2))  # marks are odd, so that what is missing equals nothing
+    out, both = np.zeros((len(n), len(n)), bool), side.any()
+    for i in range(len(n)):
+        low = first[i]
+        if low == i:
+            continue
+        equal = values[low:i] == sought[i]
+        some = np.flatnonzero(equal.view(np.uint64).any(axis=1) | (n[low:i] < LONG))
+        if both:
+            some = some[side[low + some] != side[i]]
+        if len(some):
+            met = equal[some].astype(np.float32) @ (parts[i][:, None] == np.arange(PARTS)).astype(np.float32)
+            out[i, low + some] = ((met > 0).sum(axis=1) >= least) | (n[low + some] < LONG)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    out = (out | out.T)[np.ix_(back, back)]
+    return out
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Tasks together, over so many partitions that all cores compare: their rows are few for the time that they take."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts, "_task").sortWithinPartitions("_task")
+
+
+def chars() -> Column:
+    """The length of a text, from the first four bytes of ``_print``."""
+    return F.conv(F.hex(F.substring("_print", 1, 4)), 16, 10).cast("int")
+
+
+def pairs_of(rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the pairs of like length that share a bucket (_label), once each."""
+    a, b = (rows.select("_label", F.col("_set").alias(x), F.col("_chars").alias(f"_{x}")) for x in "ab")
+    longer = F.greatest("_a", "_b", F.lit(1))
+    met = a.join(b, "_label").where((F.col("a") < F.col("b")) & (F.abs(F.col("_a") - F.col("_b")) <= (1 - threshold) * longer + 1e-9))
+    return met.select("a", "b").distinct()
+
+
+def check_pairs(pairs: DataFrame, told: DataFrame, threshold: float, least: int) -> DataFrame:
+    """Those of the pairs (a, b) that ``fitting`` has, by the sets' prints."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                (n, values, parts), (m, others, spots) = (_parsed(b.column(k).to_pylist()) for k in (2, 3))
+                equal = (values == others) & (values > 0)
+                parts = np.where((n >= m)[:, None], parts, spots)
+                fits = (np.sum([(equal & (parts == k)).any(axis=1) for k in range(PARTS)], axis=0) >= least) | (np.minimum(n, m) < LONG)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(fits)) for c in b.columns[:2]], ["a", "b"])
+
+    one, two = (told.select(F.col("_set").alias(x), F.col("_print").alias(f"_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(work, "a long, b long")
+
+
+def nominate(rows: DataFrame, threshold: float, least: int) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = Embedder()
         for _, group in runs(batches, "_task"):
-            a, b = stars(alike(embed, group["_print"].to_pylist(), group["_side"].to_numpy(), least), group["_set"].to_numpy())
+            a, b = stars(fitting(group["_print"].to_pylist(), group["_side"].to_numpy(), threshold, least), group["_set"].to_numpy())
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return spread_tasks(rows).mapInArrow(work, "a long, b long")
+    return dealt(rows).mapInArrow(work, "a long, b long")
 
 
-def verify(rows: DataFrame, least: float, threshold: float) -> DataFrame:
+def verify(rows: DataFrame, threshold: float, least: int) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embed = Embedder()
         for _, group in runs(batches, "_task"):
             ids, copies, texts = group["_set"].to_numpy(), group["_copies"].to_numpy(), group["_text"].to_pylist()
-            linked = alike(embed, group["_print"].to_pylist(), group["_side"].to_numpy(), least)
-            for i, j in zip(*np.nonzero(np.tril(linked))):
-                linked[i, j] = linked[j, i] = near(texts[i], texts[j], threshold)
+            linked = linked_of(texts, fitting(group["_print"].to_pylist(), group["_side"].to_numpy(), threshold, least), threshold)
             links = linked @ copies
             some = np.flatnonzero(links)
             if len(some):
@@ -159,33 +428,40 @@ def verify(rows: DataFrame, least: float, threshold: float) -> DataFrame:
                 ends = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b, pa.int64())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], a])), ends, pa.array(np.concatenate([links[some], np.zeros(len(a), np.int64)]).astype(np.int64))], ["a", "b", "links"])
 
-    return spread_tasks(rows).mapInArrow(work, "a long, b long, links long")
+    return dealt(rows).mapInArrow(work, "a long, b long, links long")
 
 
-def edit_classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.9, least: float = 0.2, bands: int = 40, bits: int = 8) -> DataFrame:
+def edit_classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.9, least: int = 3) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of those it is linked to, directly or through others)
     and links (other documents whose edit similarity is ``threshold`` or more; copies count).
 
-    ``least`` is the likeness of fingerprints from which a pair is verified; a pair that no band brings together, directly
-    or through others, is missed. A null text is linked to nothing; empty texts are copies; a very long one is compared
-    whole. Rows that repeat are copies; of ids the smallest names a class. Columns but doc_id and text are not read, so
-    they may have any name; an empty table gives an empty result.
+    A pair of ``LONG`` characters or more is verified if it has equal marks in ``least`` of ``PARTS`` parts of the text; a
+    pair that no band brings together, directly or through others, is missed. The windows are for thresholds about 0.9.
+    A null text is linked to nothing; empty texts are copies; a very long one is compared whole. Rows that repeat are
+    copies; of ids the smallest names a class. Columns but doc_id and text are not read, so they may have any name; an
+    empty table gives an empty result.
     """
     byte_batches(spark)
     scratch = Scratch(spark, "edits")
     told = scratch.save(prints(docs), "told")
-    sets = told.where("_set is not null").groupBy("_set").agg(F.first("_print").alias("_print"), F.min("doc_id").alias("_first"), F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_copies"))
-    sets = scratch.save(sets, "sets")
-    state = scratch.save(bucketed(sets, bands, bits), "buckets")
-    sizes = state.groupBy("_path").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    rows = in_blocks(state.join(sizes, "_path"), "_path", "_size", ["_set"]).join(sets.select("_set", "_print"), "_set")
-    groups = components(scratch.save(nominate(rows, least), "met"), scratch, "met-all")
-    wanted = sets.join(groups.select(F.col("node").alias("_set"), F.col("label").alias("_label")), "_set")
+    sets = told.where("_set is not null").groupBy("_set").agg(F.first(F.struct("_print", "_bands")).alias("_told"), F.min("doc_id").alias("_first"), F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_copies"))
+    sets = scratch.save(sets.select("_set", "_told.*", "_first", "_row", "_copies"), "sets")
+    told = scratch.save(told.select("doc_id", "_set"), "members")
+    scratch.drop("told")
+    state = sets.select("_set", chars().alias("_chars"), F.explode("_bands").alias("_label"))
+    sizes = state.groupBy("_label").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    state = scratch.save(state.join(sizes, "_label"), "buckets")
+    few = pairs_of(state.where(F.col("_size") <= SMALL), threshold)
+    few = scratch.save(check_pairs(scratch.save(few, "pairs"), sets.select("_set", "_print"), threshold, least), "few")
+    many = state.where(F.col("_size") > SMALL).drop("_size")
+    rows = in_size_classes(many, scratch, threshold, ["_set"], F.col("_chars")).join(sets.select("_set", "_print"), "_set")
+    groups = components(scratch.save(nominate(rows, threshold, least), "met").unionByName(few), scratch, "met-all")
+    scratch.drop("buckets", "pairs")
+    wanted = sets.drop("_bands").join(groups.select(F.col("node").alias("_set"), F.col("label").alias("_label")), "_set")
     texts = docs.where(F.col("text").isNotNull()).select(text_key("doc_id", "text").alias("_row"), F.col("text").cast("string").alias("_text"))
     whole = scratch.save(texts.join(wanted, "_row").dropDuplicates(["_set"]), "whole")
-    tall = whole.groupBy("_label").agg(F.count(F.lit(1)).alias("_size"))
-    rows = in_blocks(whole.join(tall, "_label"), "_label", "_size", ["_set", "_copies", "_print", "_text"])
-    found = scratch.save(verify(rows, least, threshold), "found")
+    rows = in_size_classes(whole, scratch, threshold, ["_set", "_copies", "_print", "_text"], F.length("_text"))
+    found = scratch.save(verify(rows, threshold, least), "found")
     labels = components(found.where("b is not null").select("a", "b"), scratch, "linked").select(F.col("node").alias("_set"), F.col("label").alias("_class"))
     links = found.where("b is null").groupBy(F.col("a").alias("_set")).agg(F.sum("links").alias("_links"))
     named = sets.select("_set", "_first", "_copies").join(labels, "_set", "left").join(links, "_set", "left").withColumn("_class", F.coalesce("_class", "_set"))

@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, runs, shingles, byte_batches, spread, text_key, wrapped
@@ -218,12 +218,12 @@ def in_blocks(rows: DataFrame, node: str, size: str, keep: list[str]) -> DataFra
     return rows.select(task.alias("_task"), side.alias("_side"), *keep)
 
 
-def in_size_classes(whole: DataFrame, scratch: Scratch, threshold: float, keep: list[str]) -> DataFrame:
-    """``in_blocks`` of components (_label): those that one block holds as they are, others by classes of set size, with
+def in_size_classes(whole: DataFrame, scratch: Scratch, threshold: float, keep: list[str], size: Column) -> DataFrame:
+    """``in_blocks`` of components (_label): those that one block holds as they are, others by classes of ``size``, with
     tasks for the blocks of each class and for pairs of blocks of neighbouring classes."""
     whole = whole.join(scratch.save(whole.groupBy("_label").agg(F.count(F.lit(1)).alias("_size")), "label-sizes"), "_label")
     few = in_blocks(whole.where(F.col("_size") <= BLOCK), "_label", "_size", keep)
-    many = whole.where(F.col("_size") > BLOCK).drop("_size").withColumn("_class", F.floor(F.log(F.greatest(F.octet_length("_grams"), F.lit(1))) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int"))
+    many = whole.where(F.col("_size") > BLOCK).drop("_size").withColumn("_class", F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int"))
     sizes = scratch.save(many.groupBy("_label", "_class").agg(F.count(F.lit(1)).alias("_size")), "class-sizes")
     for name, step in (("_below", 1), ("_above", -1)):
         beside = sizes.select("_label", (F.col("_class") + step).alias("_class"), F.ceil(F.col("_size") / BLOCK).cast("int").alias(name))
@@ -346,7 +346,7 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: float, width: int,
     groups = scratch.save(components(candidates(sets, scratch, threshold, recall), scratch, "met"), "groups")
     wanted = sets.join(groups.select(F.col("node").alias("_set"), F.col("label").alias("_label")), "_set").select("_row", "_set", "_copies", "_label")
     whole = scratch.save(whole_sets(docs, wanted, width), "whole")
-    found = scratch.save(verify(in_size_classes(whole, scratch, threshold, ["_set", "_copies", "_grams"]), threshold), "found")
+    found = scratch.save(verify(in_size_classes(whole, scratch, threshold, ["_set", "_copies", "_grams"], F.octet_length("_grams")), threshold), "found")
     labels = components(found.where("b is not null").select("a", "b"), scratch, "linked").select(F.col("node").alias("_set"), F.col("label").alias("_class"))
     links = found.where("b is null").groupBy(F.col("a").alias("_set")).agg(F.sum("links").alias("_links"))
     named = sets.select("_set", "_first", "_copies").join(labels, "_set", "left").join(links, "_set", "left")
