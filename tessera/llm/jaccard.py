@@ -206,10 +206,10 @@ def spread_tasks(rows: DataFrame) -> DataFrame:
     return rows.repartition("_task").sortWithinPartitions("_task")
 
 
-def in_blocks(rows: DataFrame, node: str, size: str, keep: list[str]) -> DataFrame:
-    """_task, _side and ``keep``: a node of up to BLOCK rows is one task; a larger one is cut into blocks by a hash of the
+def in_blocks(rows: DataFrame, node: str, size: str, keep: list[str], block: int = BLOCK) -> DataFrame:
+    """_task, _side and ``keep``: a node of up to ``block`` rows is one task; a larger one is cut into blocks by a hash of the
     set, with a task for each block and each pair of blocks."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    blocks = F.ceil(F.col(size) / block).cast("int")
     rows = rows.withColumns({"_blocks": blocks, "_own": F.pmod(F.xxhash64(F.lit(44), "_set"), blocks.cast("long")).cast("int")})
     others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, "_own").alias("lo"), F.greatest(k, "_own").alias("hi")))
     rows = rows.withColumn("_pair", F.explode(others))
@@ -218,20 +218,20 @@ def in_blocks(rows: DataFrame, node: str, size: str, keep: list[str]) -> DataFra
     return rows.select(task.alias("_task"), side.alias("_side"), *keep)
 
 
-def in_size_classes(whole: DataFrame, scratch: Scratch, threshold: float, keep: list[str], size: Column) -> DataFrame:
+def in_size_classes(whole: DataFrame, scratch: Scratch, threshold: float, keep: list[str], size: Column, block: int = BLOCK) -> DataFrame:
     """``in_blocks`` of components (_label): those that one block holds as they are, others by classes of ``size``, with
     tasks for the blocks of each class and for pairs of blocks of neighbouring classes."""
     whole = whole.join(scratch.save(whole.groupBy("_label").agg(F.count(F.lit(1)).alias("_size")), "label-sizes"), "_label")
-    few = in_blocks(whole.where(F.col("_size") <= BLOCK), "_label", "_size", keep)
-    many = whole.where(F.col("_size") > BLOCK).drop("_size").withColumn("_class", F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int"))
+    few = in_blocks(whole.where(F.col("_size") <= block), "_label", "_size", keep, block)
+    many = whole.where(F.col("_size") > block).drop("_size").withColumn("_class", F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int"))
     sizes = scratch.save(many.groupBy("_label", "_class").agg(F.count(F.lit(1)).alias("_size")), "class-sizes")
     for name, step in (("_below", 1), ("_above", -1)):
-        beside = sizes.select("_label", (F.col("_class") + step).alias("_class"), F.ceil(F.col("_size") / BLOCK).cast("int").alias(name))
+        beside = sizes.select("_label", (F.col("_class") + step).alias("_class"), F.ceil(F.col("_size") / block).cast("int").alias(name))
         many = many.join(beside, ["_label", "_class"], "left")
     many = many.join(sizes, ["_label", "_class"])
-    own = F.pmod(F.xxhash64(F.lit(44), "_set"), F.ceil(F.col("_size") / BLOCK).cast("long")).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(44), "_set"), F.ceil(F.col("_size") / block).cast("long")).cast("int")
     node = F.xxhash64("_label", "_class")
-    same = in_blocks(many.withColumn("_node", node), "_node", "_size", keep)
+    same = in_blocks(many.withColumn("_node", node), "_node", "_size", keep, block)
     out = few.unionByName(same)
     for name, side in (("_below", 1), ("_above", 0)):
         across = many.where(F.col(name).isNotNull()).withColumns({"_own": own, "_other": F.explode(F.sequence(F.lit(0), F.col(name) - 1))})
