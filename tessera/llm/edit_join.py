@@ -41,6 +41,8 @@ BANDED = 4096
 SMALL = 8
 #: Prints that one task compares, of each side; they are short.
 TOGETHER = 1024
+#: Bytes of texts that are walked together.
+WALKED = 4 << 20
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -132,35 +134,63 @@ def shown(a: str, b: str, most: int, width: int = 12) -> int:
 
 
 def _in_band(a: str, b: str, most: int) -> int:
-    """The edit distance if it is ``most`` or less, else a larger number: of the matrix only the diagonals that far from the
-    main one. The vectors move down by a row with each column; the score is that of the lowest diagonal, then of the last row."""
+    """The edit distance if it is ``most`` or less, else a larger number: of the matrix only the diagonals from which the end is
+    still within ``most``. The vectors move down by a row with each column; the score is that of the lowest diagonal, then of
+    the last row. It ends when a column and the way that is left from it cost more."""
     if len(a) < len(b):
         a, b = b, a
-    if len(a) - len(b) > most or len(a) <= most:
+    more = len(a) - len(b)
+    if more > most or len(a) <= most:
         return most + 1 if len(a) > most else edit_distance(a, b)
-    full, top = (1 << (2 * most + 1)) - 1, 1 << 2 * most
-    up, down, score, row, codes = full ^ ((1 << most) - 1), 0, most, top >> 1, code_points(a)
-    chunk = max(2048, 2 * most)
-    for j, c in enumerate(b):
-        if j % chunk == 0:
-            if score > 2 * most + len(b) - len(a):
+    above, below = (most - more) // 2, (most + more) // 2
+    full, top = (1 << (above + below + 1)) - 1, 1 << (above + below)
+    up, down, score, row, codes = full ^ ((1 << above) - 1), 0, below, top >> 1, code_points(a)
+    left_over = np.abs(np.arange(-above, below + 1) - more)
+    chunk = max(1024, len(b) // 12, most // 2)
+    for start in range(0, len(b), chunk):
+        if above < start <= len(a) - below:
+            steps = _bits(up, above + below) - _bits(down, above + below)
+            column = score - np.concatenate([np.cumsum(steps[::-1])[::-1], [0]])
+            if (column + left_over).min() > most:
                 return most + 1
-            low = j - most
-            part = codes[max(0, low) : j + chunk + most + 1]
-            where = {x: _number(part == ord(x)) << max(0, -low) for x in set(b[j : j + chunk])}  # the band's part of the text
-        match = where[c] >> (j % chunk) & full
-        diagonal = ((((match & up) + up) ^ up) | match | down) & full
-        right, left = down | (full & ~(diagonal | up)), up & diagonal
-        if j < len(a) - most:
-            score += not diagonal & top
-        else:
-            score += bool(right & row) - bool(left & row)
-            row >>= 1
-        diagonal >>= 1
-        up, down = left | (full & ~(diagonal | right)), diagonal & right
+        low = start - above
+        part, some = codes[max(0, low) : start + chunk + below + 1], b[start : start + chunk]
+        where = {x: _number(part == ord(x)) << max(0, -low) for x in set(some)}  # the band's part of the text
+        for j, c in enumerate(some):
+            match = where[c] >> j & full
+            diagonal = ((((match & up) + up) ^ up) | match | down) & full
+            right, left = down | (full & ~(diagonal | up)), up & diagonal
+            if start + j < len(a) - below:
+                score += not diagonal & top
+            else:
+                score += bool(right & row) - bool(left & row)
+                row >>= 1
+            diagonal >>= 1
+            up, down = left | (full & ~(diagonal | right)), diagonal & right
     return score
 
 
+def _bits(x: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer((x & ((1 << n) - 1)).to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little", count=n).astype(np.int32)
+
+
+class Bounds:
+    """Texts' counts of grams, for pairs that are too far apart to be worth their distance: an edit takes and makes ``WIDTH``
+    grams at most. Grams whose hashes agree are counted as one, which only makes texts more alike."""
+
+    WIDTH, PLACES = 4, 1024
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.counts = texts, None
+
+    def far(self, i: int, other: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Of which of the others text i is surely further away than ``most`` says."""
+        if self.counts is None:
+            grams = [Windows.grams(code_points(t), self.WIDTH) if len(t) >= self.WIDTH else np.zeros(0, np.uint64) for t in self.texts]
+            self.counts = np.stack([np.bincount((g >> np.uint64(54)).astype(np.int64), minlength=self.PLACES) for g in grams]).astype(np.int32)
+        return np.abs(self.counts[other] - self.counts[i]).sum(axis=1) > 2 * self.WIDTH * most
+
+
 def _number(bits: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
@@ -211,21 +241,25 @@ def linked_of(texts: list[str], asked: np.ndarray, threshold: float) -> np.ndarr
     wait = asked & like
     out = np.zeros_like(wait)
     count, known, far, gain = wait.sum(axis=1), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    bounds = Bounds(texts)
     for turn in range(len(texts)):
         if not count.any():
             break
         # of a text's many copies the one that all were made from is nearest to any of them, and bounds the most
         at = np.flatnonzero(count[known])
         i = int(known[at[far[at].argmin()]]) if len(at) else int(count.argmax())
-        other = np.flatnonzero(wait[i] | (like[i] & (count > 0)) if turn < 3 or gain > 0 else wait[i])
+        other = np.flatnonzero(wait[i] | (like[i] & (count > 0)))
+        if gain <= 0 and (turn >= 3 or 2 * count[i] < len(other)):  # those not asked for only serve as bounds
+            other = np.flatnonzero(wait[i])
         other = other[other != i]
-        per = max(1, AT_ONCE // (int(size[other].max()) + 1))
+        far, rest = most[i, other] + 1, np.flatnonzero(~bounds.far(i, other, most[i, other]))
         if size[i] > BANDED:  # a bound that is low enough will do
-            far = np.array([shown(texts[i], texts[j], int(most[i, j])) for j in other], np.int64)
-            rest = np.flatnonzero(far > most[i, other])
-            far[rest] = [distances(texts[i], [texts[other[k]]], most[i, other[k : k + 1]])[0] for k in rest]
-        else:
-            far = np.concatenate([distances(texts[i], [texts[j] for j in other[k : k + per]], most[i, other[k : k + per]]) for k in range(0, len(other), per)])
+            far[rest] = [shown(texts[i], texts[j], int(most[i, j])) for j in other[rest]]
+            rest = rest[far[rest] > most[i, other[rest]]]
+            far[rest] = [distances(texts[i], [texts[j]], most[i, [j]])[0] for j in other[rest]]
+        elif len(rest):
+            some, per = other[rest], max(1, AT_ONCE // (int(size[other[rest]].max()) + 1))
+            far[rest] = np.concatenate([distances(texts[i], [texts[j] for j in some[k : k + per]], most[i, some[k : k + per]]) for k in range(0, len(some), per)])
         gain = -len(other)
         met = far <= most[i, other]
         out[i, other] |= wait[i, other] & met
@@ -271,10 +305,18 @@ class Windows:
         return x ^ x >> np.uint64(32)
 
     def of(self, text: str) -> tuple[np.ndarray, bytes]:
-        codes = code_points(text)
-        n, half, bands = len(codes), (len(codes) + 1) // 2, []
+        return next(self.of_all([text]))
+
+    def of_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
+        many = [code_points(t) for t in texts]
+        halves = [h for c in many for h in (c[: (len(c) + 1) // 2], c[(len(c) + 1) // 2 :][::-1])]
+        ends = self.embed.walks(halves)
+        for k, codes in enumerate(many):
+            yield self._of(codes, ends[2 * k : 2 * k + 2] if len(codes) >= KINDS[1][1] else [])
+
+    def _of(self, codes: np.ndarray, ends: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
+        n, bands = len(codes), []
         values, parts = np.zeros(MARKS, np.uint16), np.zeros(MARKS, np.uint8)
-        ends = [self.embed.walk(codes[:half]), self.embed.walk(codes[half:][::-1])] if n >= KINDS[1][1] else []
         for kind, (width, low, high, _, marks) in enumerate(KINDS):
             if not low <= n <= high:
                 continue
@@ -285,11 +327,11 @@ class Windows:
                 at = n - width - at if back else at
                 inside = (at >= 0) & (at < len(g))
                 bands.append(g[at[inside]] ^ _mixed(own[inside] * 8 + kind * 4 + back))
-            classes = (g >> np.uint64(65 - marks.bit_length())).astype(np.int64)
-            least = np.full(marks, np.iinfo(np.uint64).max)
-            np.minimum.at(least, classes, g)
+            shift = np.uint64(65 - marks.bit_length())
+            classes, ordered = (g >> shift).astype(np.int64), np.sort(g)
+            least = ordered[np.minimum(np.searchsorted(ordered, np.arange(marks, dtype=np.uint64) << shift), len(g) - 1)]
+            of = np.flatnonzero(least >> shift == np.arange(marks, dtype=np.uint64))
             at = np.flatnonzero(g == least[classes])[::-1]  # so that of equal windows the first one's place stays
-            of = np.unique(classes[at])
             bands.append((least[of] ^ _mixed(of * 8 + kind * 4 + 2))[of % 8 == 0])
             if not kind:
                 values[of] = (least[of] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
@@ -301,14 +343,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def together(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, each of ``most`` bytes and one batch more at most."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def prints(docs: DataFrame) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
-        for b in batches:
+        for b in together(batches, WALKED):
+            texts = b.column(2).to_pylist()
+            found = windows.of_all([t for t in texts if t is not None])
             keys, bands, out = [], [], []
-            for t in b.column(2):
-                text = t.as_py()
-                own, told = (None, None) if text is None else windows.of(text)
+            for text in texts:
+                own, told = (None, None) if text is None else next(found)
                 keys.append(None if text is None else xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
                 bands.append(None if text is None else own.view(np.int64))
                 out.append(told)
@@ -384,6 +439,12 @@ def chars() -> Column:
     return F.conv(F.hex(F.substring("_print", 1, 4)), 16, 10).cast("int")
 
 
+def one_of_alike(state: DataFrame) -> DataFrame:
+    """_label, _size of the buckets of two sets or more, one of all that hold the same sets: the others' pairs are its own."""
+    held = state.groupBy("_label").agg(F.count(F.lit(1)).alias("_size"), F.bit_xor(F.xxhash64("_set")).alias("_members")).where("_size > 1")
+    return held.groupBy("_size", "_members").agg(F.min("_label").alias("_label")).select("_label", "_size")
+
+
 def pairs_of(rows: DataFrame, threshold: float) -> DataFrame:
     """a, b: the pairs of like length that share a bucket (_label), once each."""
     a, b = (rows.select("_label", F.col("_set").alias(x), F.col("_chars").alias(f"_{x}")) for x in "ab")
@@ -451,8 +512,7 @@ def edit_classes(spark: SparkSession, docs: DataFrame, threshold: float = 0.9, l
     told = scratch.save(told.select("doc_id", "_set"), "members")
     scratch.drop("told")
     state = sets.select("_set", chars().alias("_chars"), F.explode("_bands").alias("_label"))
-    sizes = state.groupBy("_label").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    state = scratch.save(state.join(sizes, "_label"), "buckets")
+    state = scratch.save(state.join(one_of_alike(state), "_label"), "buckets")
     few = pairs_of(state.where(F.col("_size") <= SMALL), threshold)
     few = scratch.save(check_pairs(scratch.save(few, "pairs"), sets.select("_set", "_print"), threshold, least), "few")
     many = state.where(F.col("_size") > SMALL).drop("_size")

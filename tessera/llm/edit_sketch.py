@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import byte_batches, text_key
 
 PERIOD, CLASSES, SAMPLES, SMALLEST = 1 << 16, 64, 256, 16
+#: Fewer texts than this are walked one by one.
+LANES = 12
 
 
 def _steps() -> list[bytes]:
@@ -53,6 +55,31 @@ class Embedder:
         steps, wrap = self.steps, PERIOD - 1
         return np.fromiter(accumulate(classes, lambda j, c: j + steps[c][j & wrap], initial=start), np.int64, len(codes) + 1)
 
+    def walks(self, many: list[np.ndarray]) -> list[np.ndarray]:
+        """``walk`` of each of many, all of them a character at a time; of the longest few the rest one by one."""
+        if not hasattr(self, "table"):
+            self.table = np.frombuffer(b"".join(self.steps), np.uint8)
+        order = np.argsort([-len(c) for c in many], kind="stable")
+        size = np.array([len(many[k]) for k in order])
+        together = int(size[LANES - 1]) if len(many) >= LANES else 0  # so many characters are walked by LANES texts or more
+        alive = np.searchsorted(-size, -np.arange(together), "left")  # texts that have the character; they are the first ones
+        begin = np.concatenate([[0], np.cumsum(alive)])
+        rows, reached = np.zeros(begin[-1], np.int32), np.zeros(begin[-1], np.int64)
+        for lane, k in enumerate(order):
+            c = many[k][:together]
+            rows[begin[: len(c)] + lane] = ((c * np.uint32(0x9E3779B1)) >> np.uint32(26)).astype(np.int32) * PERIOD
+        now = np.zeros(len(many), np.int64)
+        for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            at = now[: hi - lo]
+            at += self.table[rows[lo:hi] + (at & (PERIOD - 1))]
+            reached[lo:hi] = at
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(many)
+        for lane, k in enumerate(order):
+            own = reached[begin[: min(len(many[k]), together)] + lane]
+            last = int(own[-1]) if len(own) else 0
+            out[k] = np.concatenate([[0], own, self.walk(many[k][together:], last)[1:]])
+        return out
+
     def bits(self, codes: np.ndarray, reached: np.ndarray, scale: int) -> bytes:
         at = np.searchsorted(reached, (self.share * (2 * scale)).astype(np.int64), "right") - 1
         padded = np.append(codes, np.uint32(0x110000))[np.minimum(at, len(codes))].astype(np.uint64)
